@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from voxelflow.llm import sharding
+from voxelflow.llm import quality, sharding, toxicity
 
 QUERIES = {
+    "op1_attention_mil_quality": quality.op1_attention_mil_quality,
     "op2_hypergeometric_sharding": sharding.op2_hypergeometric_sharding,
+    "op4_nnpu_toxicity": toxicity.op4_nnpu_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
