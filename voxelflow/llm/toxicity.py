@@ -31,7 +31,7 @@ MIN_EXCESS = 5.0  # standard deviations over what the unlabelled rows make expec
 MIN_PURITY = 0.35
 MAX_FEATURES = 256
 MEMBERS = 3
-STEPS = 800
+STEPS = 1600
 THRESHOLD = 0.5
 SEED = 11
 CACHED_WORDS = 300_000
@@ -140,7 +140,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 grad[:-1] = np.bincount(p.index, weights=gp[p.of], minlength=len(kept))
                 grad[:-1] += np.bincount(u.index, weights=gu[u.of], minlength=len(kept))
                 grad[-1] = gp.sum() + gu.sum()
-                grad[:-1] += 5e-4 * w[:-1] + 1.5e-3 * np.sign(w[:-1])
+                grad[:-1] += 5e-4 * w[:-1] + 5e-4 * np.sign(w[:-1])
                 step += 1
                 first = 0.9 * first + 0.1 * grad
                 second = 0.999 * second + 0.001 * grad * grad
