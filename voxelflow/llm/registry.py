@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from voxelflow.llm import bpe, quality, sharding, toxicity
+from voxelflow.llm import bpe, neardup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_attention_mil_quality": quality.op1_attention_mil_quality,
     "op2_hypergeometric_sharding": sharding.op2_hypergeometric_sharding,
     "op4_nnpu_toxicity": toxicity.op4_nnpu_toxicity,
+    "op6_bottom_k_near_duplicates": neardup.op6_bottom_k_near_duplicates,
     "op8_recursive_bpe": bpe.op8_recursive_bpe,
 }
 
