@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from voxelflow.llm import bpe, neardup, quality, sharding, toxicity
+from voxelflow.llm import bpe, decontaminate, neardup, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_attention_mil_quality": quality.op1_attention_mil_quality,
     "op2_hypergeometric_sharding": sharding.op2_hypergeometric_sharding,
+    "op3_kd_tree_top_k": topk.op3_kd_tree_top_k,
     "op4_nnpu_toxicity": toxicity.op4_nnpu_toxicity,
     "op6_bottom_k_near_duplicates": neardup.op6_bottom_k_near_duplicates,
     "op8_recursive_bpe": bpe.op8_recursive_bpe,
+    "op10_pigeonhole_decontamination": decontaminate.op10_pigeonhole_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_kd_tree_top_k": topk.ORACLE}
