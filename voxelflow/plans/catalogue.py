@@ -2,5 +2,394 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelflow.config import ClusterParams, FrameWindow, Lattice, Selection
+from voxelflow.operators.cluster import cluster, cluster_sizes, size_histogram, summarize
+from voxelflow.operators.compare import compare_runs, recall_by_size, running_totals, size_floor
+from voxelflow.operators.components import components, runs_of
+from voxelflow.operators.grid import grid_spec, select_atoms, window_frames
+from voxelflow.operators.lattice import OFFSETS, census, lattice_clusters, probes, scaled_basis, seeds
+from voxelflow.operators.metrics import fingerprints
+from voxelflow.operators.voxelize import rasterize
+from voxelflow.plans import bindings as b
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        if oracle:
+            ORACLES[name] = oracle
+        return run
+
+    return register
+
+
+# --- voxelisation ------------------------------------------------------------------------------------------------
+
+
+def _voxels(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
+    atoms, config = b.event_atoms(spark, sf_dir), b.config(**changes)
+    return rasterize(atoms, grid_spec(atoms, b.frames_of(atoms), config), config)
+
+
+def _in_grid(select: str, dims=b.DIMS) -> str:
+    nx, ny, nz = dims
+    return f"select frame, i, j, k, ((i::bigint * {ny} + j) * {nz} + k)::bigint as lin from ({select}) where i between 0 and {nx - 1} and j between 0 and {ny - 1} and k between 0 and {nz - 1}"
+
+
+@query("voxelize_base", _in_grid(b.EVENT_VOXELS))
+def voxelize_base(spark, sf_dir):
+    return _voxels(spark, sf_dir)
+
+
+def _stencil(cutoff: float, sign: int) -> str:
+    reach = math.ceil((cutoff + sign * math.sqrt(3) / 2) + 1e-9 + 0.5)
+    index = f"select unnest(range({-reach}, {reach + 1}))::int"
+    return _in_grid(
+        f"""select distinct frame, i, j, k from (
+            select frame, x, y, z, floor(x)::int + di as i, floor(y)::int + dj as j, floor(z)::int + dk as k
+            from ({b.EVENT_ATOMS}), ({index} as di), ({index} as dj), ({index} as dk))
+        where sqrt((i + 0.5::double - x) * (i + 0.5::double - x) + (j + 0.5::double - y) * (j + 0.5::double - y) + (k + 0.5::double - z) * (k + 0.5::double - z))
+            <= {cutoff}::double + {sign} * (sqrt(3::double) / 2) + {sign} * 1e-9::double"""
+    )
+
+
+@query("voxelize_cutoff_any", _stencil(0.75, 1))
+def voxelize_cutoff_any(spark, sf_dir):
+    return _voxels(spark, sf_dir, cutoff=0.75)
+
+
+@query("voxelize_cutoff_all", _stencil(1.75, -1))
+def voxelize_cutoff_all(spark, sf_dir):
+    return _voxels(spark, sf_dir, cutoff=1.75, occupancy="all")
+
+
+WRAPPED = f"select distinct frame, i % 16 as i, j % 16 as j, k % 16 as k from ({b.EVENT_VOXELS})"
+
+
+@query("voxelize_periodic", _in_grid(WRAPPED, b.WRAPPED_DIMS))
+def voxelize_periodic(spark, sf_dir):
+    return _voxels(spark, sf_dir, bounds=b.WRAPPED_BOUNDS, periodic=True)
+
+
+@query(
+    "grid_spec_auto",
+    f"""select frame, greatest(1, ceil(hx - lx + 2))::int as nx, greatest(1, ceil(hy - ly + 2))::int as ny, greatest(1, ceil(hz - lz + 2))::int as nz,
+        lx as ox, ly as oy, lz as oz
+    from (select frame, min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy, min(z) as lz, max(z) as hz from ({b.EVENT_ATOMS}) group by frame)""",
+)
+def grid_spec_auto(spark, sf_dir):
+    atoms = b.event_atoms(spark, sf_dir)
+    return grid_spec(atoms, b.frames_of(atoms), b.config(box="auto", bounds=None)).select("frame", "nx", "ny", "nz", "ox", "oy", "oz")
+
+
+@query("grid_spec_manual", f"select distinct frame, 1024 as nx, 32 as ny, 32 as nz, 1.0::double as spacing from ({b.EVENT_ATOMS})")
+def grid_spec_manual(spark, sf_dir):
+    atoms = b.event_atoms(spark, sf_dir)
+    return grid_spec(atoms, b.frames_of(atoms), b.config()).select("frame", "nx", "ny", "nz", "spacing")
+
+
+@query("select_index", f"select frame, atom from ({b.EVENT_ATOMS}) where atom between 9 and 499 or atom between 999 and 1999")
+def select_index(spark, sf_dir):
+    return select_atoms(b.event_atoms(spark, sf_dir), Selection(ranges=((10, 500), (1000, 2000)))).select("frame", "atom")
+
+
+@query(
+    "select_name",
+    "select c_custkey % 10 as frame, count(*)::bigint as natoms from customer join nation on c_nationkey = n_nationkey where n_name in ('FRANCE', 'GERMANY', 'NATION_1', 'NATION_3') group by 1",
+)
+def select_name(spark, sf_dir):
+    topology = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("atom"), F.col("n_name").alias("name"))
+    atoms = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 10).alias("frame"), F.col("c_nationkey").alias("atom"))
+    chosen = select_atoms(atoms, Selection(names=("FRANCE", "GERMANY", "NATION_1", "NATION_3")), topology)
+    return chosen.groupBy("frame").agg(F.count(F.lit(1)).alias("natoms"))
+
+
+@query("frame_window", f"select frame, count(*)::bigint as natoms from ({b.EVENT_ATOMS}) where frame between 3 and 25 and (frame - 3) % 4 = 0 group by frame")
+def frame_window(spark, sf_dir):
+    return window_frames(b.event_atoms(spark, sf_dir), FrameWindow(3, 25, 4)).groupBy("frame").agg(F.count(F.lit(1)).alias("natoms"))
+
+
+# --- components --------------------------------------------------------------------------------------------------
+
+
+def _adjacent(manhattan: int) -> str:
+    return f"greatest(abs(p.i - q.i), abs(p.j - q.j), abs(p.k - q.k)) <= 1 and abs(p.i - q.i) + abs(p.j - q.j) + abs(p.k - q.k) <= {manhattan}"
+
+
+def _labelled(voxels: str, near: str, members: str = "true") -> str:
+    """CTEs v (with lin), e (edges), c (component's first voxel per voxel) and l (dense labels)."""
+    return f"""with recursive v as (select *, (i::bigint * 100000 + j) * 100000 + k as lin from ({voxels}))
+    , m as (select * from v where {members})
+    , e as (select p.frame, p.lin as a, q.lin as b from m p join m q on p.frame = q.frame and p.lin <> q.lin and {near})
+    , r(frame, a, root) as (select frame, lin, lin from m union select e.frame, e.b, r.root from r join e on e.frame = r.frame and e.a = r.a)
+    , c as (select frame, a as lin, min(root) as first from r group by frame, a)
+    , l as (select m.frame, m.i, m.j, m.k, m.lin, (dense_rank() over (partition by m.frame order by first) - 1)::bigint as label from m join c using (frame, lin))"""
+
+
+def _components_oracle(voxels: str, near: str) -> str:
+    return _labelled(voxels, near) + " select frame, i, j, k, label from l"
+
+
+EV6, EV18, EV26 = (_labelled(b.EVENT_VOXELS, _adjacent(m)) for m in (1, 2, 3))
+FRAME_METRICS = """ select frame, count(*)::int as nclusters, max(size)::int as max_cluster, sum(size)::bigint as refined_voxels
+    from (select frame, label, count(*) as size from l group by frame, label) group by frame"""
+
+
+def _metrics(labels: DataFrame) -> DataFrame:
+    return summarize(labels).select("frame", "nclusters", "max_cluster", "refined_voxels")
+
+
+@query("components6", EV6 + FRAME_METRICS)
+def components6(spark, sf_dir):
+    return _metrics(cluster(b.event_voxels(spark, sf_dir), "traditional_dfs"))
+
+
+@query("components18", EV18 + FRAME_METRICS)
+def components18(spark, sf_dir):
+    return _metrics(components(b.event_voxels(spark, sf_dir), 18))
+
+
+@query("components26", EV26 + FRAME_METRICS)
+def components26(spark, sf_dir):
+    return _metrics(cluster(b.event_voxels(spark, sf_dir), "cc3d", ClusterParams(connectivity=26)))
+
+
+@query("components6_lineitem", _labelled(b.LINEITEM_VOXELS, _adjacent(1)) + FRAME_METRICS)
+def components6_lineitem(spark, sf_dir):
+    return _metrics(cluster(b.lineitem_voxels(spark, sf_dir), "gcbd"))
+
+
+@query("components26_embeddings", _labelled(b.EMBEDDING_VOXELS, _adjacent(3)) + FRAME_METRICS)
+def components26_embeddings(spark, sf_dir):
+    return _metrics(cluster(b.embedding_voxels(spark, sf_dir), "cc3d_optimized", ClusterParams(connectivity=26)))
+
+
+def _wrapped_near(n: int = 16) -> str:
+    d = " + ".join(f"least(abs(p.{c} - q.{c}), {n} - abs(p.{c} - q.{c}))" for c in "ijk")
+    return f"{d} <= 1"
+
+
+SPARSE_WRAPPED = f"select * from ({WRAPPED}) where (i * 7 + j * 13 + k * 29) % 4 = 0"
+
+
+@query("components6_pbc", _labelled(SPARSE_WRAPPED, _wrapped_near()) + FRAME_METRICS)
+def components6_pbc(spark, sf_dir):
+    # A fixed quarter of the lattice's voxels stands in for a sparse system: the wrapped table as such is one component a frame.
+    voxels = _voxels(spark, sf_dir, bounds=b.WRAPPED_BOUNDS, periodic=True).where("(i * 7 + j * 13 + k * 29) % 4 = 0")
+    atoms = b.event_atoms(spark, sf_dir)
+    grid = grid_spec(atoms, b.frames_of(atoms), b.config(bounds=b.WRAPPED_BOUNDS, periodic=True))
+    return _metrics(cluster(voxels, "traditional_dfs", grid=grid, periodic=True))
+
+
+@query("partition_labels", EV6 + " select frame, i, j, k, label from l")
+def partition_labels(spark, sf_dir):
+    return cluster(b.event_voxels(spark, sf_dir), "rle_ccl_optimized")
+
+
+@query("components_distributed", EV6 + " select frame, i, j, k, label from l")
+def components_distributed(spark, sf_dir):
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxelflow-"))
+    return components(b.event_voxels(spark, sf_dir), strategy="runs")
+
+
+@query("cluster_sizes", EV6 + " select frame, label, count(*)::int as size from l group by frame, label")
+def sizes(spark, sf_dir):
+    return cluster_sizes(cluster(b.event_voxels(spark, sf_dir), "rle_ccl"))
+
+
+@query("size_histogram", EV6 + " select size::int as size, count(*)::bigint as clusters from (select frame, label, count(*) as size from l group by frame, label) group by size")
+def histogram(spark, sf_dir):
+    return size_histogram(cluster(b.event_voxels(spark, sf_dir), "traditional_dfs"))
+
+
+@query(
+    "rle_runs",
+    f"""select frame, i, j, min(k)::int as start, max(k)::int as stop from (
+        select *, k - row_number() over (partition by frame, i, j order by k) as island from ({b.EVENT_VOXELS})) group by frame, i, j, island""",
+)
+def rle_runs(spark, sf_dir):
+    return runs_of(b.event_voxels(spark, sf_dir))
+
+
+# --- lattices ----------------------------------------------------------------------------------------------------
+
+
+def _sites(config) -> str:
+    """All sites around the grid of the bindings, rounded, with repeats."""
+    basis = scaled_basis(config)
+    offsets = ", ".join(f"({', '.join(map(repr, o))})" for o in OFFSETS[config.lattice.centering])
+    reach = [range(-40, 80) if config.lattice.kind != "cubic" else range(-2, 60)] * 3
+    span = [f"(select unnest(range({r.start}, {r.stop}))::double as t{n}) as s{n}" for n, r in enumerate(reach)]
+    place = [f"round(((t0 + o0) * {basis[0][k]!r}::double + (t1 + o1) * {basis[1][k]!r}::double) + (t2 + o2) * {basis[2][k]!r}::double + {config.lattice_origin[k]!r}::double)::int" for k in range(3)]
+    return f"select {place[0]} as i, {place[1]} as j, {place[2]} as k from {', '.join(span)}, (values {offsets}) as o(o0, o1, o2)"
+
+
+SMALL_BOUNDS, SMALL_DIMS = (0.0, 32.0, 0.0, 32.0, 0.0, 32.0), (32, 32, 32)
+
+
+def _seed_query(name: str, kind: str, centering: str, dnn: float = 2.4):
+    config = b.config(bounds=SMALL_BOUNDS, lattice=Lattice(kind, centering), dnn=dnn)
+    voxels = _in_grid(b.EVENT_VOXELS, SMALL_DIMS)
+
+    @query(name, f"select v.frame, v.i, v.j, v.k, v.lin from ({voxels}) v where exists (select 1 from ({_sites(config)}) s where s.i = v.i and s.j = v.j and s.k = v.k)")
+    def run(spark, sf_dir):
+        atoms = b.event_atoms(spark, sf_dir)
+        grid = grid_spec(atoms, b.frames_of(atoms), config)
+        return seeds(rasterize(atoms, grid, config), grid, config)
+
+
+_seed_query("lattice_seeds_cubic_p", "cubic", "P")
+_seed_query("lattice_seeds_cubic_i", "cubic", "I")
+_seed_query("lattice_seeds_cubic_f", "cubic", "F")
+_seed_query("lattice_seeds_hex", "hexagonal", "F")
+CENSUS = b.config(bounds=SMALL_BOUNDS)
+
+
+@query(
+    "probe_census",
+    f"select count(*)::bigint as probes, count(distinct (i, j, k))::bigint as voxels from ({_sites(CENSUS)}) where i between 0 and 31 and j between 0 and 31 and k between 0 and 31",
+)
+def probe_census(spark, sf_dir):
+    return census(spark, CENSUS, SMALL_DIMS).agg(F.count(F.lit(1)).alias("voxels")).select(F.lit(probes(CENSUS, SMALL_DIMS)).cast("long").alias("probes"), "voxels")
+
+
+def _lattice_run(spark, sf_dir, config):
+    atoms = b.event_atoms(spark, sf_dir)
+    grid = grid_spec(atoms, b.frames_of(atoms), config)
+    voxels = rasterize(atoms, grid, config)
+    truth = components(voxels, 6)
+    return truth, lattice_clusters(truth, seeds(voxels, grid, config))
+
+
+LATTICE_CTES = _labelled(f"select frame, i, j, k from ({_in_grid(b.EVENT_VOXELS, SMALL_DIMS)})", _adjacent(1)) + f"""
+    , site as (select distinct i, j, k from ({_sites(CENSUS)}))
+    , hit as (select l.frame, l.label, min(l.lin) as seed from l join site using (i, j, k) group by l.frame, l.label)
+    , found as (select frame, label, (dense_rank() over (partition by frame order by seed) - 1)::bigint as id from hit)"""
+
+
+@query("lattice_clusters", LATTICE_CTES + " select l.frame, l.i, l.j, l.k, found.id as label from l join found using (frame, label)")
+def lattice_run(spark, sf_dir):
+    return _lattice_run(spark, sf_dir, CENSUS)[1]
+
+
+@query(
+    "size_floor",
+    LATTICE_CTES + """
+    , s as (select frame, label, count(*) as size from l group by frame, label)
+    select size::bigint as size, count(*)::bigint as present, sum(case when id is null then 1 else 0 end)::bigint as missed,
+        (count(*) - sum(case when id is null then 1 else 0 end))::double / count(*)::double as recall
+    from s left join found using (frame, label) group by size""",
+)
+def floor_by_size(spark, sf_dir):
+    return recall_by_size(size_floor(*_lattice_run(spark, sf_dir, CENSUS)))
+
+
+# --- density, linkage and centroid methods -----------------------------------------------------------------------
+
+_APART = "(p.i - q.i) * (p.i - q.i) + (p.j - q.j) * (p.j - q.j) + (p.k - q.k) * (p.k - q.k)"
+
+
+def _dbscan(eps: int, min_pts: int) -> str:
+    counted = f"""select *, (select count(*) from ({b.EVENT_VOXELS}) q where q.frame = p.frame and {_APART} <= {eps * eps}) >= {min_pts} as core from ({b.EVENT_VOXELS}) p"""
+    return _labelled(counted, f"{_APART} <= {eps * eps}", "core") + f"""
+    , every as (select frame, i, j, k, label from l union all
+        select p.frame, p.i, p.j, p.k, min(q.label) from v p join l q on p.frame = q.frame and {_APART} <= {eps * eps} where not p.core group by all)"""
+
+
+@query("dbscan", _dbscan(2, 4) + " select frame, i, j, k, label from every")
+def dbscan(spark, sf_dir):
+    return cluster(b.event_voxels(spark, sf_dir), "dbscan", ClusterParams(eps=2.0, min_pts=4))
+
+
+@query("dbscan_noise", _dbscan(2, 4) + " select v.frame, count(*)::bigint as voxels, (count(*) - count(every.label))::bigint as noise from v left join every using (frame, i, j, k) group by v.frame")
+def dbscan_noise(spark, sf_dir):
+    voxels = b.event_voxels(spark, sf_dir)
+    members = cluster(voxels, "dbscan", ClusterParams(eps=2.0, min_pts=4)).groupBy("frame").agg(F.count(F.lit(1)).alias("members"))
+    every = voxels.groupBy("frame").agg(F.count(F.lit(1)).alias("voxels"))
+    return every.join(members, "frame", "left").select("frame", "voxels", (F.col("voxels") - F.coalesce("members", F.lit(0))).alias("noise"))
+
+
+@query("single_linkage", _labelled(b.EVENT_VOXELS, f"{_APART} <= 4") + " select frame, i, j, k, label from l")
+def linkage(spark, sf_dir):
+    return cluster(b.event_voxels(spark, sf_dir), "hierarchical", ClusterParams(threshold=2.0))
+
+
+@query("skip_dfs1", EV6 + " select frame, i, j, k, label from l")
+def skip_dfs1(spark, sf_dir):
+    return cluster(b.event_voxels(spark, sf_dir), "skip_dfs", ClusterParams(skip=1))
+
+
+def _method_query(key: str, method: str, params: ClusterParams):
+    @query(key)
+    def run(spark, sf_dir):
+        return summarize(cluster(b.event_voxels(spark, sf_dir), method, params))
+
+
+_method_query("kmeans", "kmeans", ClusterParams(k=20))
+_method_query("skip_dfs3", "skip_dfs", ClusterParams(skip=3))
+_method_query("hdbscan", "hdbscan", ClusterParams())
+_method_query("vccs", "vccs", ClusterParams(eps=3.0))
+_method_query("vccs_optimized", "vccs_optimized", ClusterParams(eps=3.0))
+
+
+@query("occupancy_sha256")
+def occupancy(spark, sf_dir):
+    atoms, config = b.event_atoms(spark, sf_dir), b.config()
+    grid = grid_spec(atoms, b.frames_of(atoms), config)
+    return fingerprints(rasterize(atoms, grid, config), grid)
+
+
+# --- running totals and comparison -------------------------------------------------------------------------------
+
+
+@query(
+    "bench_running",
+    """select frame, sum(elapsed_ms) over w as cumulative_ms, max(rss_bytes) over w as peak_rss_bytes, 1 as replicate
+    from (select day(ts)::bigint as frame, count(*)::bigint as elapsed_ms, max(user_id)::bigint as rss_bytes from events group by 1)
+    window w as (order by frame rows between unbounded preceding and current row)""",
+)
+def bench_running(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.groupBy(F.dayofmonth("ts").cast("long").alias("frame")).agg(F.count(F.lit(1)).alias("elapsed_ms"), F.max("user_id").alias("rss_bytes"))
+    return running_totals(rows.withColumn("replicate", F.lit(1)))
+
+
+_RUNS = """
+    , a as (select row_number() over (order by frame) as place, count(*) as n, max(size) as m from (select frame, label, count(*) as size from l group by frame, label) group by frame)
+    , o as (select day(ts)::bigint as frame, count(*)::int as n, max(user_id)::int as m from events group by 1)
+    , z as (select row_number() over (order by frame) as place, n, m from o)
+    select count(*)::bigint as frames, avg(abs(a.m - z.m))::double as mean_abs_max_cluster, avg(abs(a.n - z.n))::double as mean_abs_nclusters
+    from a join z using (place)"""
+
+
+@query("compare_runs", EV6 + _RUNS)
+def compare(spark, sf_dir):
+    ours = summarize(components(b.event_voxels(spark, sf_dir), 6)).withColumn("elapsed_ms", F.col("nclusters").cast("double"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    other = events.groupBy(F.dayofmonth("ts").cast("long").alias("frame")).agg(
+        F.count(F.lit(1)).cast("int").alias("nclusters"), F.max("user_id").cast("int").alias("max_cluster")
+    ).withColumn("elapsed_ms", F.lit(1.0)).withColumn("cluster_sizes", F.array(F.col("max_cluster")))
+    return compare_runs(ours, other).select("frames", "mean_abs_max_cluster", "mean_abs_nclusters")
+
+
+@query("compare_methods")
+def compare_methods(spark, sf_dir):
+    voxels = b.event_voxels(spark, sf_dir)
+
+    def run(connectivity: int) -> DataFrame:
+        return summarize(components(voxels, connectivity)).withColumn("elapsed_ms", F.col("refined_voxels") / F.col("nclusters"))
+
+    return compare_runs(run(6), run(26))
