@@ -1,7 +1,7 @@
 """Probe lattices: bases, seeds on occupied voxels, probe counts and the components that seeds reach.
 
 Whether a voxel is a site's rounded place is asked per occupied voxel, so the sites themselves, of which there may be
-many millions, are never made. On cubic lattices the question splits into one per axis and stays in
+many millions, are never made. On cubic lattices the question splits into one set membership per axis, in
 generated code; other bases test the few candidate sites around a voxel in numpy.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from voxelflow.config import Config, ConfigError, Lattice
 from voxelflow.functions.geometry import cell_vectors, invert, round_half_away
 
+BROADCAST_FRAMES = 100_000
 OFFSETS = {
     "P": ((0.0, 0.0, 0.0),),
     "F": ((0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)),
@@ -65,25 +66,6 @@ def commensurate(config: Config, dims: tuple[int, int, int]) -> tuple[list[float
     return edges, cells, nearest(basis, OFFSETS[config.lattice.centering])
 
 
-def round_column(x: Column) -> Column:
-    """Nearest integer, halves away from zero, exact."""
-    whole = F.floor(F.abs(x))
-    return F.signum(x).cast("int") * (whole + F.when(F.abs(x) - whole >= 0.5, 1).otherwise(0))
-
-
-def _axis_hit(index: str, n: Column, edge: Column, offset: float, origin: float, cells: Column | None) -> Column:
-    """Does some site of this axis round to the voxel's index? Two cells to both sides of the real solution suffice."""
-    around = F.floor((F.col(index) - F.lit(origin)) / edge - F.lit(offset))
-    hits = []
-    for step in (-1, 0, 1, 2):
-        t = around + step
-        if cells is not None:
-            t = F.pmod(t, cells)
-        place = round_column(edge * (t + F.lit(offset)) + F.lit(origin))
-        hits.append((F.pmod(place, n) if cells is not None else place) == F.col(index))
-    return reduce(lambda x, y: x | y, hits)
-
-
 def seeds(voxels: DataFrame, grid: DataFrame, config: Config) -> DataFrame:
     """Occupied voxels (frame, i, j, k, lin) that are the rounded place of a lattice site."""
     offsets = OFFSETS[config.lattice.centering]
@@ -92,18 +74,33 @@ def seeds(voxels: DataFrame, grid: DataFrame, config: Config) -> DataFrame:
         if config.periodic:
             raise ConfigError("a periodic grid takes a cubic lattice only")
         return at.where(_general_hit(config)("i", "j", "k"))
-    a = F.lit(scaled_basis(config)[0][0])
-    wide = at.join(grid.select("frame", "nx", "ny", "nz"), "frame")
-    any_offset = F.lit(False)
-    for o in offsets:
-        all_axes = F.lit(True)
-        for axis, (index, n) in enumerate((("i", "nx"), ("j", "ny"), ("k", "nz"))):
-            count = F.col(n)
-            cells = F.greatest(F.lit(1), F.ceil(count / a - 1e-9)) if config.periodic else None
-            edge = count / cells if config.periodic else a
-            all_axes = all_axes & _axis_hit(index, count, edge, o[axis], config.lattice_origin[axis], cells)
-        any_offset = any_offset | all_axes
-    return wide.where(any_offset).select("frame", "i", "j", "k", "lin")
+    # The grids of a run have few distinct shapes; their per-axis tables become literal sets of at most nx + ny + nz integers.
+    if config.periodic:
+        wide = at.join(F.broadcast(grid.select("frame", "nx", "ny", "nz")), "frame") if grid.count() <= BROADCAST_FRAMES else at.join(grid.select("frame", "nx", "ny", "nz"), "frame")
+        hit = F.lit(False)
+        for dims in {tuple(r) for r in grid.select("nx", "ny", "nz").distinct().collect()}:
+            same = (F.col("nx") == dims[0]) & (F.col("ny") == dims[1]) & (F.col("nz") == dims[2])
+            hit = hit | (same & _table_hit(axis_tables(config, dims)))
+        return wide.where(hit).select("frame", "i", "j", "k", "lin")
+    largest = grid.agg(F.max("nx"), F.max("ny"), F.max("nz")).first()
+    if largest[0] is None:
+        return at
+    return at.where(_table_hit(axis_tables(config, tuple(largest))))
+
+
+def axis_tables(config: Config, dims: tuple[int, int, int]) -> list[list[set[int]]]:
+    """Per centering offset and axis, the indices in a grid that a site of a cubic lattice rounds to."""
+    offsets, origin = OFFSETS[config.lattice.centering], config.lattice_origin
+    if not config.periodic:
+        a = scaled_basis(config)[0][0]
+        return [[set(axis_table(a, o[k], origin[k], dims[k])) for k in range(3)] for o in offsets]
+    edges, cells, _ = commensurate(config, dims)
+    return [[{round_half_away(edges[k] * (t + o[k]) + origin[k]) % dims[k] for t in range(cells[k])} for k in range(3)] for o in offsets]
+
+
+def _table_hit(tables: list[list[set[int]]]) -> Column:
+    hits = [reduce(lambda x, y: x & y, [F.col(c).isin(*sorted(t)) for c, t in zip("ijk", one, strict=True)]) for one in tables]
+    return reduce(lambda x, y: x | y, hits)
 
 
 def general_sites(config: Config, voxels: np.ndarray) -> np.ndarray:
@@ -183,16 +180,9 @@ def census(spark: SparkSession, config: Config, dims: tuple[int, int, int]) -> D
     """(i, j, k) of voxels that some site falls into, occupied or not."""
     if config.lattice.kind != "cubic":
         return sites(spark, config, dims).distinct()
-    edges = commensurate(config, dims)[0] if config.periodic else [scaled_basis(config)[0][0]] * 3
     made = None
-    for o in OFFSETS[config.lattice.centering]:
-        axes = []
-        for k in range(3):
-            places = axis_table(edges[k], o[k], config.lattice_origin[k], dims[k])
-            if config.periodic:
-                cells = round(dims[k] / edges[k])
-                places = [round_half_away(edges[k] * (t + o[k]) + config.lattice_origin[k]) % dims[k] for t in range(cells)]
-            axes.append(F.array(*map(F.lit, sorted(set(places)))).cast("array<int>"))
+    for tables in axis_tables(config, dims):
+        axes = [F.array(*map(F.lit, sorted(t))).cast("array<int>") for t in tables]
         one = spark.range(1).select(F.explode(axes[0]).alias("i")).select("i", F.explode(axes[1]).alias("j")).select("i", "j", F.explode(axes[2]).alias("k"))
         made = one if made is None else made.unionAll(one)
     return made.distinct()
