@@ -3,7 +3,9 @@
 Texts and items are compared as lower-case words joined by single blanks. An item of m characters may differ by
 e = floor(m * ERROR_RATE) edits from a stretch of a document. Cut into e + 1 pieces, at least one piece of it must
 then occur unchanged, so an automaton over all pieces finds every place worth looking at, and Myers'
-bit-parallel algorithm gives the exact edit distance there.
+bit-parallel algorithm gives the exact edit distance there. It first tries the stretches of 2, 4, 8, ... pieces around the
+piece found: were the item within its budget, some piece would have all of these within theirs (pieces less
+one), by the same argument over halves; chance hits fail at the first of them.
 
 Documents are read once per block of items, whole and without a shuffle. A block's size is bounded by
 ``BLOCK_CHARS``, so it may be broadcast whatever the number of items.
@@ -58,24 +60,47 @@ def best_match(pattern_bits: dict[str, int], m: int, window: str, most: int) ->
     return (best, end) if best <= most else None
 
 
+def bit_masks(pattern: str) -> dict[str, int]:
+    bits: dict[str, int] = {}
+    for at, c in enumerate(pattern):
+        bits[c] = bits.get(c, 0) | (1 << at)
+    return bits
+
+
+def ancestors(pieces: int) -> list[list[tuple[int, int]]]:
+    """For each piece, the ranges of pieces above it in a binary tree, from the smallest to the whole."""
+    above: list[list[tuple[int, int]]] = [[] for _ in range(pieces)]
+    stack = [(0, pieces)]
+    while stack:
+        a, b = stack.pop()
+        for k in range(a, b):
+            above[k].insert(0, (a, b))
+        if b - a > 1:
+            stack += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    return [own[1:] or own for own in above]
+
+
 class Items:
     """An automaton over the pieces of a block of items (item_id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, least: int = MIN_ITEM_CHARS):
         self.items = []
-        of_piece: dict[str, list[tuple[int, int]]] = {}
+        of_piece: dict[str, list[tuple]] = {}
         for item_id, text in items:
             own = normal(text)
             if len(own) < least:
                 continue
             budget = math.floor(len(own) * rate)
-            bits: dict[str, int] = {}
-            for at, c in enumerate(own):
-                bits[c] = bits.get(c, 0) | (1 << at)
             cuts = [len(own) * k // (budget + 1) for k in range(budget + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                of_piece.setdefault(own[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, len(own), budget, bits))
+            masks: dict[tuple[int, int], tuple] = {}  # start in the item, length, errors, bits of each stretch
+            for k, above in enumerate(ancestors(budget + 1)):
+                for a, b in above:
+                    if (a, b) not in masks:
+                        stretch = own[cuts[a] : cuts[b]]
+                        masks[a, b] = (cuts[a], len(stretch), b - a - 1, bit_masks(stretch))
+                piece = own[cuts[k] : cuts[k + 1]]
+                of_piece.setdefault(piece, []).append((len(self.items), cuts[k], [masks[r] for r in above]))
+            self.items.append((item_id, len(own), budget))
         self.automaton = ahocorasick.Automaton()
         for piece, places in of_piece.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -88,21 +113,22 @@ class Items:
             return []
         own = normal(text)
         found: dict[int, tuple[int, int, int]] = {}
-        looked: dict[int, int] = {}
+        looked: set[tuple[int, int]] = set()
         for last, (size, places) in self.automaton.iter(own):
-            for k, offset in places:
-                if k in found and found[k][0] == 0:
-                    continue
-                item_id, m, budget, bits = self.items[k]
+            for k, offset, stretches in places:
                 start = last - size + 1 - offset
-                # A window around the piece reaches budget to both sides; one that was looked at nearby covers this one.
-                if looked.get(k, -1 - m) >= start:
+                if k in found and found[k][0] == 0 or (k, start) in looked:
                     continue
-                looked[k] = start + budget
-                low = max(0, start - budget)
-                hit = best_match(bits, m, own[low : start + m + 2 * budget], budget)
-                if hit and (k not in found or hit[0] < found[k][0]):
-                    found[k] = (hit[0], low, low + hit[1])
+                for begin, length, errors, bits in stretches:
+                    low = max(0, start + begin - errors)
+                    hit = best_match(bits, length, own[low : start + begin + length + errors], errors)
+                    if hit is None:
+                        break
+                else:
+                    # The last stretch is the whole item, in a window that reaches its budget to both sides.
+                    looked.add((k, start))
+                    if k not in found or hit[0] < found[k][0]:
+                        found[k] = (hit[0], low, low + hit[1])
         return [(self.items[k][0], *where) for k, where in sorted(found.items())]
 
 
