@@ -41,8 +41,8 @@ def rasterize(atoms: DataFrame, grid: DataFrame, config: Config) -> DataFrame:
     wide = grid.select("*", *inverse_columns()).withColumn("corner", _corner())
     radius = F.lit(config.cutoff) + F.col("corner") + MARGIN if config.occupancy == "any" else F.lit(config.cutoff) - F.col("corner") - MARGIN
     wide = wide.withColumn("radius", radius)
-    for r, n in enumerate(COUNTS):
-        wide = wide.withColumn(f"reach{r}", F.ceil(F.greatest(F.col("radius"), F.lit(0.0)) * F.col(n) * _inverse_row(r) + 0.5).cast("int"))
+    for r in range(3):
+        wide = wide.withColumn(f"reach{r}", F.col("radius") * _inverse_row(r) + MARGIN)
     at = atoms.select("frame", "x", "y", "z").join(wide, "frame")
     shifted = [F.col(k) - F.col(f"o{k}") for k in AXES]
     for r in range(3):
@@ -58,14 +58,20 @@ def rasterize(atoms: DataFrame, grid: DataFrame, config: Config) -> DataFrame:
         for c, k in enumerate(AXES):
             place = sum((F.col(f"{v}{k}") * F.col(f"f{r}") for r, v in enumerate("abc")), F.lit(0.0))
             at = at.withColumn(f"p{c}", place)
+        at = at.where("radius >= 0")
         for r in range(3):
-            at = at.withColumn(f"v{r}", F.explode(F.sequence(F.col(f"b{r}_") - F.col(f"reach{r}"), F.col(f"b{r}_") + F.col(f"reach{r}"))))
+            # Voxel centres between the two planes of this axis that lie a radius from the atom.
+            low, high = (F.col(f"f{r}") + sign * F.col(f"reach{r}") for sign in (-1, 1))
+            at = at.withColumn(f"lo{r}", F.ceil(low * F.col(COUNTS[r]) - 0.5)).withColumn(f"hi{r}", F.floor(high * F.col(COUNTS[r]) - 0.5))
+            if not config.periodic:
+                at = at.withColumn(f"lo{r}", F.greatest(F.col(f"lo{r}"), F.lit(0))).withColumn(f"hi{r}", F.least(F.col(f"hi{r}"), F.col(COUNTS[r]) - 1))
+            at = at.where(F.col(f"lo{r}") <= F.col(f"hi{r}")).withColumn(f"v{r}", F.explode(F.sequence(f"lo{r}", f"hi{r}")))
         middle = [(F.col(f"v{r}") + 0.5) / F.col(n) for r, n in enumerate(COUNTS)]
         apart = []
         for c, k in enumerate(AXES):
             d = sum((F.col(f"{v}{k}") * middle[r] for r, v in enumerate("abc")), F.lit(0.0)) - F.col(f"p{c}")
             apart.append(d * d)
-        marked = at.where((F.col("radius") >= 0) & (F.sqrt(apart[0] + apart[1] + apart[2]) <= F.col("radius")))
+        marked = at.where(F.sqrt(apart[0] + apart[1] + apart[2]) <= F.col("radius"))
         marked = marked.select("frame", "periodic", *COUNTS, "v0", "v1", "v2")
     inside = F.lit(True)
     for r, n in enumerate(COUNTS):
