@@ -150,8 +150,9 @@ def fit(docs: DataFrame) -> tuple[list[str], dict]:
     """The commonest words and the trained network."""
     common = count_words(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = [r["word"] for r in common]
-    counted = count_windows(docs, frequent).toPandas().sort_values("window")
-    return frequent, train(counted["window"].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
+    counted = count_windows(docs, frequent).toArrow()
+    window, n = counted["window"].to_numpy().astype(np.int64), counted["n"].to_numpy().astype(np.float64)
+    return frequent, train(window, n)
 
 
 def pseudo_likelihood(spark: SparkSession, docs: DataFrame) -> DataFrame:
