@@ -7,6 +7,10 @@ bit-parallel algorithm gives the exact edit distance there. It first tries the s
 piece found: were the item within its budget, some piece would have all of these within theirs (pieces less
 one), by the same argument over halves; chance hits fail at the first of them.
 
+Items of fewer than ``BOUNDED_CHARS`` characters have the same budget, but the stretch must begin and end at the edge of a word, as short
+items would else be found inside of longer words; beside letters of scripts written without blanks every place is an edge. Items of
+signs only, of which nothing is left, are sought unchanged but for blanks and case in the text as it is; the sign at an edge must not go on.
+
 Documents are read once per block of items, whole and without a shuffle. A block's size is bounded by
 ``BLOCK_CHARS``, so it may be broadcast whatever the number of items.
 """
@@ -25,15 +29,57 @@ from pyspark.sql import functions as F
 from voxelflow.llm.common import table
 
 ERROR_RATE = 0.10
-MIN_ITEM_CHARS = 24  # shorter items would match everyday phrases; they take no part
+MIN_ITEM_CHARS = 1  # nothing is left of shorter items; their signs are compared
+BOUNDED_CHARS = 24  # shorter items must be whole words
 BLOCK_CHARS = 2_000_000
 NOT_WORD = re.compile(r"[\W_]+")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")  # Thai, Lao, Burmese, Khmer, kana, Han
 
 
 def normal(text: str | None) -> str:
     return NOT_WORD.sub(" ", (text or "").lower()).strip()
 
 
+def signs(text: str | None) -> str:
+    """A text as items of signs only are sought in it."""
+    return " ".join((text or "").lower().split())
+
+
+def find_signs(text: str, item: str) -> int:
+    """Where an item of signs only begins, the same sign not going on before or after it; -1 if nowhere."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if text[max(at - 1, 0) : at] != item[0] and text[end : end + 1] != item[-1]:
+            return at
+        at = text.find(item, at + 1)
+    return -1
+
+
+def is_edge(text: str, at: int) -> bool:
+    """Whether a word begins or ends before character ``at``."""
+    if at <= 0 or at >= len(text) or text[at - 1] == " " or text[at] == " ":
+        return True
+    return bool(UNSPACED.match(text[at - 1]) or UNSPACED.match(text[at]))
+
+
+def bounded_match(pattern: str, text: str, start: int, most: int) -> tuple[int, int, int] | None:
+    """Least distance, begin and end of a stretch of whole words that begins within ``most`` of ``start``; the leftmost on ties."""
+    m, best = len(pattern), None
+    for begin in range(max(0, start - most), start + most + 1):
+        if begin >= len(text) or text[begin] == " " or not is_edge(text, begin):
+            continue
+        window = text[begin : begin + m + most]
+        row = list(range(m + 1))  # distances of the pattern's prefixes to the stretch so far
+        for size in range(1, len(window) + 1):
+            before, row = row, [size]
+            for i, c in enumerate(pattern, 1):
+                row.append(min(before[i] + 1, row[-1] + 1, before[i - 1] + (c != window[size - 1])))
+            if row[m] <= (most if best is None else best[0] - 1) and window[size - 1] != " " and is_edge(text, begin + size):
+                best = (row[m], begin, begin + size)
+    return best
+
+
 def best_match(pattern_bits: dict[str, int], m: int, window: str, most: int) -> tuple[int, int] | None:
     """Least edit distance of the pattern to any stretch of ``window`` and the first end where it is met, if at most ``most``."""
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -85,10 +131,13 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, least: int = MIN_ITEM_CHARS):
         self.items = []
+        self.signs: list[tuple[int, str]] = []
         of_piece: dict[str, list[tuple]] = {}
         for item_id, text in items:
             own = normal(text)
             if len(own) < least:
+                if not own and (raw := signs(text)):
+                    self.signs.append((item_id, raw))
                 continue
             budget = math.floor(len(own) * rate)
             cuts = [len(own) * k // (budget + 1) for k in range(budget + 2)]
@@ -100,7 +149,7 @@ class Items:
                         masks[a, b] = (cuts[a], len(stretch), b - a - 1, bit_masks(stretch))
                 piece = own[cuts[k] : cuts[k + 1]]
                 of_piece.setdefault(piece, []).append((len(self.items), cuts[k], [masks[r] for r in above]))
-            self.items.append((item_id, len(own), budget))
+            self.items.append((item_id, own if len(own) < BOUNDED_CHARS else None, budget))
         self.automaton = ahocorasick.Automaton()
         for piece, places in of_piece.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -108,10 +157,17 @@ class Items:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start bound, end) of each item's best place in the normalised text; the leftmost on ties."""
-        if not self.items or not text:
+        """(item_id, distance, start bound, end) of each item's best place in the normalised text; the leftmost on ties.
+
+        Places of items of signs only are those in the text as it is, blanks joined.
+        """
+        if not text:
             return []
-        own = normal(text)
+        shown = signs(text) if self.signs else ""
+        places = [(item_id, 0, at, at + len(item)) for item_id, item in self.signs if (at := find_signs(shown, item)) >= 0]
+        return self._find_words(normal(text)) + places if self.items else places
+
+    def _find_words(self, own: str) -> list[tuple[int, int, int, int]]:
         found: dict[int, tuple[int, int, int]] = {}
         looked: set[tuple[int, int]] = set()
         for last, (size, places) in self.automaton.iter(own):
@@ -127,7 +183,12 @@ class Items:
                 else:
                     # The last stretch is the whole item, in a window that reaches its budget to both sides.
                     looked.add((k, start))
-                    if k not in found or hit[0] < found[k][0]:
+                    _, pattern, budget = self.items[k]
+                    if pattern is not None:
+                        place = bounded_match(pattern, own, start, budget)
+                        if place and (k not in found or place[0] < found[k][0]):
+                            found[k] = place
+                    elif k not in found or hit[0] < found[k][0]:
                         found[k] = (hit[0], low, low + hit[1])
         return [(self.items[k][0], *where) for k, where in sorted(found.items())]
 
@@ -157,12 +218,16 @@ class _Block:
         return self.shared.value
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[_Block]:
-    """The items in blocks of about ``block_chars`` characters, broadcast one by one. Null texts and ids take no part."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+def blocks(spark: SparkSession, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, null_ids: bool = False) -> list[_Block]:
+    """The items in blocks of about ``block_chars`` characters, broadcast one by one. Null texts take no part.
+
+    Items with a null id cannot be named in a result and take part only with ``null_ids``, all as item -1.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = items.withColumn("item_id", F.coalesce("item_id", F.lit(-1))) if null_ids else items.where("item_id is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     return [_Block(spark, sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("block") == k).collect())) for k in range(n)]
 
 
@@ -193,7 +258,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in whose text no item occurs; null and empty texts stay."""
-    for block in blocks(spark, benchmark):
+    for block in blocks(spark, benchmark, null_ids=True):
 
         def make(block: _Block):
             @F.pandas_udf("boolean")
