@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,9 +238,21 @@ def _sites(config) -> str:
     return f"select {place[0]} as i, {place[1]} as j, {place[2]} as k from {', '.join(span)}, (values {offsets}) as o(o0, o1, o2)"
 
 
+# The queries run in the bindings' box, made longer where a table reaches beyond it. Their oracles generate sites for its first 32 planes only, which hold all of sf0.01 and number
+# voxels alike; on larger tables the oracles do not apply.
 SMALL_BOUNDS, SMALL_DIMS = (0.0, 32.0, 0.0, 32.0, 0.0, 32.0), (32, 32, 32)
 
 
+def _whole_box(atoms: DataFrame) -> tuple[float, ...]:
+    """The bindings' box, its upper edges doubled until they hold all atoms."""
+    ends = atoms.agg(*[F.max(c) for c in "xyz"]).first()
+    edges = list(b.BOUNDS[1::2])
+    for axis, end in enumerate(ends):
+        while end is not None and end >= edges[axis]:
+            edges[axis] *= 2
+    return (0.0, edges[0], 0.0, edges[1], 0.0, edges[2])
+
+
 def _seed_query(name: str, kind: str, centering: str, dnn: float = 2.4):
     config = b.config(bounds=SMALL_BOUNDS, lattice=Lattice(kind, centering), dnn=dnn)
     voxels = _in_grid(b.EVENT_VOXELS, SMALL_DIMS)
@@ -247,8 +260,9 @@ def _seed_query(name: str, kind: str, centering: str, dnn: float = 2.4):
     @query(name, f"select v.frame, v.i, v.j, v.k, v.lin from ({voxels}) v where exists (select 1 from ({_sites(config)}) s where s.i = v.i and s.j = v.j and s.k = v.k)")
     def run(spark, sf_dir):
         atoms = b.event_atoms(spark, sf_dir)
-        grid = grid_spec(atoms, b.frames_of(atoms), config)
-        return seeds(rasterize(atoms, grid, config), grid, config)
+        whole = replace(config, bounds=_whole_box(atoms))
+        grid = grid_spec(atoms, b.frames_of(atoms), whole)
+        return seeds(rasterize(atoms, grid, whole), grid, whole)
 
 
 _seed_query("lattice_seeds_cubic_p", "cubic", "P")
@@ -266,8 +280,9 @@ def probe_census(spark, sf_dir):
     return census(spark, CENSUS, SMALL_DIMS).agg(F.count(F.lit(1)).alias("voxels")).select(F.lit(probes(CENSUS, SMALL_DIMS)).cast("long").alias("probes"), "voxels")
 
 
-def _lattice_run(spark, sf_dir, config):
+def _lattice_run(spark, sf_dir):
     atoms = b.event_atoms(spark, sf_dir)
+    config = b.config(bounds=_whole_box(atoms))
     grid = grid_spec(atoms, b.frames_of(atoms), config)
     voxels = rasterize(atoms, grid, config)
     truth = components(voxels, 6)
@@ -282,7 +297,7 @@ LATTICE_CTES = _labelled(f"select frame, i, j, k from ({_in_grid(b.EVENT_VOXELS,
 
 @query("lattice_clusters", LATTICE_CTES + " select l.frame, l.i, l.j, l.k, found.id as label from l join found using (frame, label)")
 def lattice_run(spark, sf_dir):
-    return _lattice_run(spark, sf_dir, CENSUS)[1]
+    return _lattice_run(spark, sf_dir)[1]
 
 
 @query(
@@ -294,7 +309,7 @@ def lattice_run(spark, sf_dir):
     from s left join found using (frame, label) group by size""",
 )
 def floor_by_size(spark, sf_dir):
-    return recall_by_size(size_floor(*_lattice_run(spark, sf_dir, CENSUS)))
+    return recall_by_size(size_floor(*_lattice_run(spark, sf_dir)))
 
 
 # --- density, linkage and centroid methods -----------------------------------------------------------------------
