@@ -37,3 +37,23 @@ def test_lattice_clusters_and_recall_cover_all_planes(spark, tmp_path):
     assert catalogue.QUERIES["lattice_clusters"](spark, far).where("i >= 700").count() > 0
     present = sum(r["size"] * r["present"] for r in catalogue.QUERIES["size_floor"](spark, far).collect())
     assert present == b.event_voxels(spark, far).count()
+
+
+def test_periodic_components_keep_every_voxel(spark, tmp_path):
+    folder = events(spark, tmp_path / "all", range(0, 1600, 4))
+    voxels = {(r.frame, r.i % 256, r.j % 16, r.k % 16) for r in b.event_voxels(spark, folder).collect()}
+    sizes, left = {}, set(voxels)
+    while left:  # a plain search over the wrapped neighbours
+        stack, size = [left.pop()], 0
+        frame = stack[0][0]
+        while stack:
+            _, i, j, k = stack.pop()
+            size += 1
+            for step in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)):
+                near = (frame, (i + step[0]) % 256, (j + step[1]) % 16, (k + step[2]) % 16)
+                if near in left:
+                    left.remove(near)
+                    stack.append(near)
+        sizes.setdefault(frame, []).append(size)
+    want = sorted((f, len(s), max(s), sum(s)) for f, s in sizes.items())
+    assert rows_of(catalogue.QUERIES["components6_pbc_whole"](spark, folder)) == want

@@ -175,8 +175,8 @@ def components26_embeddings(spark, sf_dir):
     return _metrics(cluster(b.embedding_voxels(spark, sf_dir), "cc3d_optimized", ClusterParams(connectivity=26)))
 
 
-def _wrapped_near(n: int = 16) -> str:
-    d = " + ".join(f"least(abs(p.{c} - q.{c}), {n} - abs(p.{c} - q.{c}))" for c in "ijk")
+def _wrapped_near(dims=b.WRAPPED_DIMS) -> str:
+    d = " + ".join(f"least(abs(p.{c} - q.{c}), {n} - abs(p.{c} - q.{c}))" for c, n in zip("ijk", dims, strict=True))
     return f"{d} <= 1"
 
 
@@ -192,6 +192,19 @@ def components6_pbc(spark, sf_dir):
     return _metrics(cluster(voxels, "traditional_dfs", grid=grid, periodic=True))
 
 
+LONG_BOUNDS, LONG_DIMS = (0.0, 256.0, 0.0, 16.0, 0.0, 16.0), (256, 16, 16)
+LONG_WRAPPED = f"select distinct frame, i % 256 as i, j % 16 as j, k % 16 as k from ({b.EVENT_VOXELS})"
+
+
+@query("components6_pbc_whole", _labelled(LONG_WRAPPED, _wrapped_near(LONG_DIMS)) + FRAME_METRICS)
+def components6_pbc_whole(spark, sf_dir):
+    # All voxels, in a box long enough that larger tables do not fill it at once.
+    config = b.config(bounds=LONG_BOUNDS, periodic=True)
+    atoms = b.event_atoms(spark, sf_dir)
+    grid = grid_spec(atoms, b.frames_of(atoms), config)
+    return _metrics(cluster(rasterize(atoms, grid, config), "traditional_dfs", grid=grid, periodic=True))
+
+
 @query("partition_labels", EV6 + " select frame, i, j, k, label from l")
 def partition_labels(spark, sf_dir):
     return cluster(b.event_voxels(spark, sf_dir), "rle_ccl_optimized")
