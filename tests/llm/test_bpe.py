@@ -56,3 +56,45 @@ def test_known_words_are_forgotten_in_generations(monkeypatch, library):
         for t, (ids, count, raw) in zip(texts, codec.encode(texts), strict=True):
             assert " ".join(ids) == " ".join(map(str, library.encode_ordinary(t))) and b"".join(raw) == t.encode()
     assert len(codec.known) < 400
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        return bpe.Codec(bpe.parse_ranks(f.read()), public_tokenizers.PATTERN)
+
+
+def ids_of(codec, text):
+    (ids, n, raw), = codec.encode([text])
+    found = [int(x) for x in " ".join(ids).split()]
+    assert n == len(found) and b"".join(raw) == text.encode()
+    return found
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "z", "etaoin", "éßa", "漢字仮名"])
+def test_long_words_in_linear_time(codec, library, letters):
+    rng = random.Random(len(letters))
+    for n in (97, 1_000, 130_000):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        assert ids_of(codec, word) == library.encode_ordinary(word)
+
+
+def test_seams_of_short_pieces(codec, library, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(bpe, "SEAM_TOKENS", 2)
+    for size in (4, 7, 16):
+        monkeypatch.setattr(bpe, "PIECE_BYTES", size)
+        words = ["".join(rng.choice(rng.choice(["ab", "aaab", "theringsion", "0123456789", "!?"])) for _ in range(rng.randint(3, 90))) for _ in range(150)]
+        for word, (ids, _, _) in zip(words, codec.encode(words), strict=True):
+            assert " ".join(ids) == " ".join(map(str, library.encode_ordinary(word)))
+
+
+def test_a_closed_codec_opens_again(codec, library):
+    codec.close()
+    assert codec.db is None and ids_of(codec, "reopened wuzzle") == library.encode_ordinary("reopened wuzzle")
+
+
+def test_batches_are_bounded(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS_PER_QUERY", 100)
+    text = " ".join(f"blimp{n}ery" for n in range(60))
+    assert ids_of(codec, text) == library.encode_ordinary(text)
