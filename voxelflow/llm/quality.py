@@ -4,7 +4,8 @@ A document is a bag of passages of ``PASSAGE_BYTES`` bytes, together its whole t
 encoded as shares of byte classes, of transitions between them and of repeated words; a small network maps
 it to h = tanh(W x), gated attention a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages, and
 the label of the document trains everything through the logit of sum(a h). Training reads a
-bounded sample of labelled documents; scoring reads every text once, without a shuffle.
+bounded sample of labelled documents, each with all its passages: at most ``MAX_LABELLED`` rows, in the order of a hash of
+their ids, until they have ``MAX_TRAINING_BYTES`` of text. Scoring reads every text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxelflow.llm.common import bounded_sample, held_out, labelled, table
 
 PASSAGE_BYTES = 512
 MAX_LABELLED = 6000
-MAX_TRAINING_PASSAGES = 256  # of one document, evenly spaced; scoring uses them all
+MAX_TRAINING_BYTES = 64 << 20
 CLASSES = 8
 FEATURES = CLASSES + CLASSES * CLASSES + 4
 HIDDEN, GATE = 24, 16
@@ -118,8 +120,9 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> dict:
         p["d"][0] = 0.0 if len(bags) == 0 else (4.0 if y[0] else -4.0)
         return p
     every = np.concatenate(bags)
-    p["mean"], p["scale"] = every.mean(axis=0), every.std(axis=0) + 0.02
-    bags = [(b - p["mean"]) / p["scale"] for b in bags]
+    p["mean"], p["scale"] = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 0.02
+    del every
+    bags = [((b - p["mean"]) / p["scale"]).astype(np.float32) for b in bags]
     p["d"][0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     first, second, step = {k: 0.0 for k in SHAPES}, {k: 0.0 for k in SHAPES}, 0
     for _ in range(EPOCHS):
@@ -156,22 +159,26 @@ def predict(p: dict, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-r["logit"]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED) -> dict:
-    """Train on labelled rows outside the held-out fold that have a document; null texts are no examples."""
-    # Bounded by max_labelled ids, so the chosen ids may be broadcast.
-    chosen = bounded_sample(labelled(labels, "quality"), max_labelled, seed)
-    picked = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_TRAINING_BYTES, seed: int = SEED) -> dict:
+    """Train on labelled rows outside the held-out fold that have a document; null texts are no examples, repeated ids are one."""
+    some = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = some.groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
+    sampled = bounded_sample(labelled(labels, "quality").join(sizes, "doc_id"), max_labelled, seed)
+    # Bounded by max_labelled ids, so one task may sum up their sizes, and the chosen ids may be broadcast.
+    before = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sampled.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("before") < max_bytes).select("doc_id", "y")
+    picked = some.join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             x, counts = encode(list(rows["text"]))
             bags = np.split(x, np.cumsum(counts)[:-1]) if len(counts) else []
-            even = [b[np.linspace(0, len(b) - 1, min(len(b), MAX_TRAINING_PASSAGES)).astype(int)] for b in bags]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "y": rows["y"], "bag": [b.astype(np.float16).tobytes() for b in even]})
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "y": rows["y"], "bag": [b.astype(np.float16).tobytes() for b in bags]})
 
-    drawn = picked.mapInPandas(features, "doc_id long, y int, bag binary").collect()
-    drawn.sort(key=lambda r: (r["doc_id"], r["bag"]))
-    bags = [np.frombuffer(r["bag"], np.float16).astype(np.float64).reshape(-1, FEATURES) for r in drawn]
+    one = picked.mapInPandas(features, "doc_id long, y int, bag binary").groupBy("doc_id", "y").agg(F.min("bag").alias("bag"))
+    drawn = one.collect()  # a row an id
+    drawn.sort(key=lambda r: r["doc_id"])
+    bags = [np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, FEATURES) for r in drawn]
     return train(bags, np.array([r["y"] for r in drawn], dtype=float), seed)
 
 
@@ -194,8 +201,8 @@ def score_column(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Col
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row, ties and repeated rows included.
 
-    Null ids are scored; null and empty texts get the score of one empty passage. Further columns of
-    either table are not read.
+    Null ids are scored; null and empty texts get the score of one empty passage; texts of any length are read whole. Without
+    documents the result is empty, without labels all scores are equal. Further columns of either table are not read.
     """
     return docs.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(spark, docs, labels).alias("score")
