@@ -92,7 +92,7 @@ def test_passages_cover_the_whole_text():
     assert not np.array_equal(quality.encode([text[:-200] + "B!" * 100])[0], x[:3])
 
 
-def test_attention_gradient_is_right():
+def test_attention_learns_from_one_passage():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 2, 4) * 30]
     y = np.array([float(b[:, 0].max() > 0.8) for b in bags])
@@ -110,3 +110,69 @@ def test_risk_is_prior_corrected():
     w, b = toxicity.train(positive, unlabelled, 0.2)
     score = lambda d: (1 / (1 + np.exp(-(b + w[:, d].sum(axis=1))))).mean()
     assert min(score(make(True)) for _ in range(50)) > 0.5 > max(score(make(False)) for _ in range(50))
+
+
+def test_attention_gradient_is_right(monkeypatch):
+    """The first step of Adam goes by the sign of each entry's gradient; it must be that of finite differences of the mean log loss."""
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 4, 2, 3, 5, 2)]
+    y = np.array([0.0, 1, 1, 0, 1, 0])
+    monkeypatch.setattr(quality, "EPOCHS", 0)
+    before = quality.train(bags, y)
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    after = quality.train(bags, y)
+    x, counts = np.concatenate(bags), np.array([len(b) for b in bags])
+
+    def loss(p):
+        s = quality.predict(p, x.astype(np.float32), counts)
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    checked = 0
+    for name in ("W", "V", "U", "w", "c", "b", "d"):
+        flat = before[name].ravel()
+        for at in rng.choice(flat.size, min(8, flat.size), replace=False):
+            slopes = []
+            for step in (1e-5, -1e-5):
+                p = {k: v.copy() for k, v in before.items()}
+                p[name].ravel()[at] += step
+                slopes.append(loss(p))
+            slope = (slopes[0] - slopes[1]) / 2e-5 + (1e-4 * flat[at] if name not in "bd" else 0)
+            moved = (after[name] - before[name]).ravel()[at]
+            if abs(slope) > 1e-5:
+                checked += 1
+                assert moved * slope < 0, (name, at)
+    assert checked > 20
+
+
+def test_training_reads_whole_documents_up_to_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, y, seed: seen.append([len(b) for b in bags]) or {})
+    ids = [i for i in range(40) if crc_fold(i)]
+    docs = spark.createDataFrame([(i, "word " * 30_000, "", 0) for i in ids] + [(ids[0], "twice", "", 0)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0, "") for i in ids], LABELS)
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, max_bytes=400_000)
+    quality.fit(docs, labels, max_labelled=5)
+    assert len(seen[0]) == len(ids) and sorted(seen[0])[1] == -(-150_000 // quality.PASSAGE_BYTES)
+    assert len(seen[1]) == 3 and len(seen[2]) == 5
+
+
+def test_copies_are_told_by_similarity_not_by_chance():
+    rng = np.random.default_rng(2)
+    base = [np.unique(rng.integers(0, 400, 60)).astype(np.int32) for _ in range(40)]  # one small vocabulary for all
+    copies = [b[:-2] for b in base]
+    kept = toxicity.without_copies(base + copies + [np.zeros(0, np.int32)])
+    assert len(kept) == 40 and all(any(np.array_equal(k, b) for b in base) for k in kept)
+
+
+def test_threshold_of_the_best_f_measure_without_negatives():
+    positive, unlabelled = np.array([2.0, 3, 4, 5]), np.concatenate([np.full(90, -3.0), [2.0, 3, 4, 5, 2, 3, 4, 5, 2, 3]])
+    assert -3 < toxicity.best_threshold(positive, unlabelled, 0.1) < 2
+
+
+def test_prefixes_count_by_different_words():
+    known = toxicity.Words()
+    of, bucket = toxicity.features(["badword badwords", "badword badword", None, ""], known)
+    own = [set(bucket[of == k]) for k in range(4)]
+    assert own[1] < own[0] and not own[2] and not own[3]
+    assert list(toxicity.text_features("badword badwords")) == sorted(own[0])
