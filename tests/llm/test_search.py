@@ -115,6 +115,44 @@ def test_blocks_of_items_give_the_same(spark, benchmark):
     assert decontaminate.clean(spark, docs, table).count() == 0
 
 
+def test_several_blocks_give_the_rows_of_one(spark, benchmark):
+    items, make = benchmark
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(d, make(5) + " " + mutate(rng, items[d % 15][1], 2) + " " + make(4), "x", 1) for d in range(40)] + [(None, None, "x", 1)], DOCS)
+    table = spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+    rows = lambda size: sorted((tuple(r) for r in decontaminate.contamination(spark, docs, table, size).collect()), key=str)
+    assert rows(200) == rows(1 << 20)
+    kept = lambda size: sorted(map(str, map(tuple, decontaminate.clean(spark, docs, table, size).collect())))
+    assert kept(200) == kept(1 << 20)
+
+
+def ends(pattern, text):
+    """Least distance to a stretch of a text, and the first end where it is met."""
+    before = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        now = [i]
+        for j, d in enumerate(text, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (c != d)))
+        before = now
+    return min(before), before.index(min(before))
+
+
+def test_ties_end_first(benchmark):
+    items, make = benchmark
+    rng = random.Random(10)
+    for _ in range(150):
+        item = rng.choice(items[:15])[1]
+        text = " ".join([make(6), *(mutate(rng, item, rng.randrange(3)) for _ in range(3)), make(6)])
+        found = decontaminate.Items([(1, item)]).find(text)
+        own, text = decontaminate.normal(item), decontaminate.normal(text)
+        least, end = ends(own, text)
+        if least > len(own) // 10:
+            assert not found
+        else:
+            (_, distance, start, at), = found
+            assert (distance, at) == (least, end) and ends(own, text[start:at])[0] == least
+
+
 def test_clean_keeps_rows_and_columns(spark, benchmark):
     items, make = benchmark
     rows = [(1, make(30), "x", 1), (1, make(30), "x", 1), (2, None, None, None), (3, items[8][1], "y", 2), (None, "", "z", 3)]

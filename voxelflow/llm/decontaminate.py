@@ -12,13 +12,15 @@ items would else be found inside of longer words; beside letters of scripts writ
 signs only, of which nothing is left, are sought unchanged but for blanks and case in the text as it is; the sign at an edge must not go on.
 
 Documents are read once per block of items, whole and without a shuffle. A block's size is bounded by
-``BLOCK_CHARS``, so it may be broadcast whatever the number of items.
+``BLOCK_CHARS``, so it may be broadcast whatever the number of items. Where there are several blocks, one at a time is at the
+driver and its result is written before the next.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelflow.llm.common import table
+from voxelflow.llm.common import Scratch, table
 
 ERROR_RATE = 0.10
 MIN_ITEM_CHARS = 1  # nothing is left of shorter items; their signs are compared
@@ -64,7 +66,7 @@ def is_edge(text: str, at: int) -> bool:
 
 
 def bounded_match(pattern: str, text: str, start: int, most: int) -> tuple[int, int, int] | None:
-    """Least distance, begin and end of a stretch of whole words that begins within ``most`` of ``start``; the leftmost on ties."""
+    """Least distance, begin and end of a stretch of whole words that begins within ``most`` of ``start``; on ties the one that ends, then begins, first."""
     m, best = len(pattern), None
     for begin in range(max(0, start - most), start + most + 1):
         if begin >= len(text) or text[begin] == " " or not is_edge(text, begin):
@@ -75,7 +77,7 @@ def bounded_match(pattern: str, text: str, start: int, most: int) -> tuple[int,
             before, row = row, [size]
             for i, c in enumerate(pattern, 1):
                 row.append(min(before[i] + 1, row[-1] + 1, before[i - 1] + (c != window[size - 1])))
-            if row[m] <= (most if best is None else best[0] - 1) and window[size - 1] != " " and is_edge(text, begin + size):
+            if row[m] <= most and (best is None or (row[m], begin + size) < (best[0], best[2])) and window[size - 1] != " " and is_edge(text, begin + size):
                 best = (row[m], begin, begin + size)
     return best
 
@@ -157,7 +159,7 @@ class Items:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start bound, end) of each item's best place in the normalised text; the leftmost on ties.
+        """(item_id, distance, start bound, end) of each item's best place in the normalised text; the one that ends first on ties.
 
         Places of items of signs only are those in the text as it is, blanks joined.
         """
@@ -186,56 +188,65 @@ class Items:
                     _, pattern, budget = self.items[k]
                     if pattern is not None:
                         place = bounded_match(pattern, own, start, budget)
-                        if place and (k not in found or place[0] < found[k][0]):
-                            found[k] = place
-                    elif k not in found or hit[0] < found[k][0]:
-                        found[k] = (hit[0], low, low + hit[1])
+                    else:
+                        place = (hit[0], low, low + hit[1])
+                    if place and (k not in found or (place[0], place[2], place[1]) < (found[k][0], found[k][2], found[k][1])):
+                        found[k] = place
         return [(self.items[k][0], *where) for k, where in sorted(found.items())]
 
 
-_matchers: dict[int, Items] = {}
+_matchers: dict[str, Items] = {}
 
 
-def _matcher(shared) -> Items:
-    if shared.id not in _matchers:
+def _matcher(block: _Block) -> Items:
+    if block.id not in _matchers:
         _matchers.clear()
-        _matchers[shared.id] = Items(shared.value)
-    return _matchers[shared.id]
+        _matchers[block.id] = Items(block.value)
+    return _matchers[block.id]
 
 
 class _Block:
     """A broadcast block of items with an identity, so that a worker builds its automaton once."""
 
     def __init__(self, spark: SparkSession, items: list):
-        self.shared = spark.sparkContext.broadcast(items)
-        self.id = hash((id(self.shared), len(items), str(items[:1])))
-
-    def __getstate__(self):
-        return {"shared": self.shared, "id": self.id}
+        self.shared, self.id = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @property
-    def value(self):
+    def value(self) -> list:
         return self.shared.value
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, null_ids: bool = False) -> list[_Block]:
-    """The items in blocks of about ``block_chars`` characters, broadcast one by one. Null texts take no part.
+class Blocks:
+    """The items in blocks of about ``block_chars`` characters, each collected and broadcast when its turn comes. Null texts take no part.
 
     Items with a null id cannot be named in a result and take part only with ``null_ids``, all as item -1.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    items = items.withColumn("item_id", F.coalesce("item_id", F.lit(-1))) if null_ids else items.where("item_id is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // block_chars))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [_Block(spark, sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("block") == k).collect())) for k in range(n)]
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, null_ids: bool = False):
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+        items = items.withColumn("item_id", F.coalesce("item_id", F.lit(-1))) if null_ids else items.where("item_id is not null")
+        chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.spark, self.n = spark, max(1, -(-chars // block_chars))
+        self.dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[_Block]:
+        for k in range(self.n):
+            yield _Block(self.spark, sorted((r["item_id"], r["text"]) for r in self.dealt.where(F.col("block") == k).collect()))
+
+
+def blocks(spark: SparkSession, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, null_ids: bool = False) -> Blocks:
+    return Blocks(spark, benchmark, block_chars, null_ids)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): each document's best place of each item that occurs in it.
 
-    ``end`` is where the match ends in the normalised text, ``start`` a bound from which it can be found. Null
-    and empty texts have no rows; repeated rows repeat theirs. Further columns are not read.
+    ``end`` is where the match ends in the normalised text, of equal distances the first; ``start`` is a bound from which it can be found. Null
+    and empty texts have no rows; repeated rows repeat theirs; texts of any length are searched whole. Without documents or
+    items the result is empty. Further columns are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
 
@@ -248,17 +259,20 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
         return run
 
-    schema = "doc_id long, item_id long, distance int, start long, end long"
-    parts = [narrow.mapInPandas(over(b), schema) for b in blocks(spark, benchmark)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    every, out, scratch = blocks(spark, benchmark, block_chars), None, Scratch(spark, "decontamination")
+    for k, block in enumerate(every):
+        part = narrow.mapInPandas(over(block), "doc_id long, item_id long, distance int, start long, end long")
+        if len(every) > 1:
+            part = scratch.table(part, f"block-{k}")
+            block.shared.destroy()
+        out = part if out is None else out.unionAll(part)
     return out
 
 
-def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in whose text no item occurs; null and empty texts stay."""
-    for block in blocks(spark, benchmark, null_ids=True):
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no item occurs; null and empty texts stay, and without items all do."""
+    every, scratch = blocks(spark, benchmark, block_chars, null_ids=True), Scratch(spark, "decontamination")
+    for k, block in enumerate(every):
 
         def make(block: _Block):
             @F.pandas_udf("boolean")
@@ -270,6 +284,11 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
             return free
 
         docs = docs.where(make(block)("text"))
+        if len(every) > 1:
+            docs = scratch.table(docs, f"block-{k}")
+            block.shared.destroy()
+            if k:
+                scratch.drop(f"block-{k - 1}")
     return docs
 
 
