@@ -1,4 +1,10 @@
-"""A corpus-cleaning pipeline of the corpus operators; each stage's result is written and reread before the next."""
+"""A corpus-cleaning pipeline of the corpus operators; each stage's result is written and reread before the next.
+
+All stages but the last keep the columns of their input, whatever their names, and whole rows. Rows with null ids are rows like others;
+null texts and texts without words are neither toxic nor copies nor contaminated, and get the quality score of an empty passage. Texts of any
+length are read whole. Of equal rows the first two stages and decontamination keep all or none, near_duplicates one (all, if they
+have no words). An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from voxelflow.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic. A text without words is not."""
+    """Documents that the classifier does not call toxic (score below the threshold). A text without words is not."""
     return docs.where(toxicity.score_column(spark, docs, table(spark, sf_dir, "labels")) < toxicity.THRESHOLD)
 
 
@@ -19,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the smallest doc_id."""
+    """One document of each component of near copies: of the smallest doc_id (null last), then of the smallest hash of its text."""
     return neardup.deduplicate(spark, docs)
 
 
@@ -29,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left, its null text counted as empty."""
     return bpe.encode_documents(spark, docs, emit="digests")
 
 
@@ -45,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the table of documents, one after the other; the last one's rows. A stage's input is deleted when it is done."""
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
