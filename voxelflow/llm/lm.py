@@ -338,7 +338,7 @@ def pseudo_likelihood(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "lm")
     words = scratch.table(count_words(docs), "words")
-    scratch.release_shuffles()
+    scratch.release_memory()
     args, total, least = vocabulary(words)
     shared = spark.sparkContext.broadcast((args, fit_network(spark, docs, args, total)))
 
