@@ -40,7 +40,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 4_000_000
 WORDS_PER_QUERY = 20_000
 ROWS_PER_QUERY = 1_000_000
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 200_000
 PIECE_BYTES = 96
 SEAM_TOKENS = 8
 DUCKDB_MEMORY = "200MB"
@@ -256,24 +256,26 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[str], int, list[bytes]]]:
         """For each text its ids as strings of ids, how many ids, and the decoded pieces."""
-        cut = []
+        cut, pieces = [], set()
         for t in texts:
             if not t:
-                cut.append([])
-            elif EDGE_BLANKS.search(t):
-                cut.append(self.pattern.findall(t))
+                own = []
+            elif "\0" in t or EDGE_BLANKS.search(t):
+                own = self.pattern.findall(t)
             else:
-                cut.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.pattern.findall(t))
-        pieces = set().union(*cut) if cut else set()
+                own = t.replace(" ", "\0 ").split("\0")
+            cut.append(own)
+            pieces.update(own)
         words = {p: self.pattern.findall(p) for p in pieces}
         self.learn({w for found in words.values() for w in found})
-        known, long, whole = self.known, self.long, {}
+        known = {**self.known, **self.long} if self.long else self.known
+        whole = {}
         for p, found in words.items():
             if len(found) == 1:
-                whole[p] = known.get(found[0]) or long[found[0]]
+                whole[p] = known[found[0]]
             else:
-                parts = [known.get(w) or long[w] for w in found]
-                whole[p] = (" ".join([x[0] for x in parts]), sum(x[1] for x in parts), b"".join([x[2] for x in parts]))
+                parts = [known[w] for w in found]
+                whole[p] = (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts]))
         for own in cut:
             parts = [whole[p] for p in own]
             yield [x[0] for x in parts], sum([x[1] for x in parts]), [x[2] for x in parts]
