@@ -21,6 +21,14 @@ def write(path, data):
 # --- writers of test files ---------------------------------------------------------------------------------------
 
 
+# The format's size table as published, kept apart from the reader's.
+SIZES = [
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 8, 10, 12, 16, 20, 25, 32, 40, 50, 64, 80, 101, 128, 161, 203, 256, 322, 406, 512, 645, 812, 1024, 1290, 1625, 2048,
+    2580, 3250, 4096, 5060, 6501, 8192, 10321, 13003, 16384, 20642, 26007, 32768, 41285, 52015, 65536, 82570, 104031, 131072, 165140, 208063, 262144,
+    330280, 416127, 524287, 660561, 832255, 1048576, 1321122, 1664510, 2097152, 2642245, 3329021, 4194304, 5284491, 6658042, 8388607, 10568983, 13316085, 16777216,
+]
+
+
 class BitWriter:
     def __init__(self):
         self.bits = []
@@ -54,7 +62,7 @@ def pack(points, small, grow):
             w.mixed([int(x) for x in p - low], sizes, width)
 
     while at < len(points):
-        radix = binary_formats.small_size(small)
+        radix = SIZES[small]
         half = radix // 2
         fits = lambda a, b: (np.abs(a - b) < half).all()  # noqa: E731, B023
         length = 0
@@ -124,7 +132,7 @@ def test_xtc_round_trip(tmp_path, n, step, grow):
 
 
 def test_small_sizes():
-    assert [binary_formats.small_size(k) for k in (8, 9, 10, 11, 12, 24, 35, 57, 58, 69, 72)] == [0, 8, 10, 12, 16, 256, 3250, 524287, 660561, 8388607, 16777216]
+    assert list(binary_formats.SMALL_SIZES) == SIZES and len(SIZES) == 73
 
 
 @pytest.mark.parametrize("kind", ["f", "d"])
@@ -147,7 +155,7 @@ def test_pdb_rules():
     line = text.splitlines()[2]
     no_end = ["MODEL 1", line, "MODEL 2", line, line[:50], "#CRYST1" + " " * 70, "CRYST1 1 1 1"]
     assert [len(f.positions) for f in text_formats.pdb(no_end)] == [1, 1]
-    assert list(text_formats.pdb(["MODEL 1", "ENDMDL", line, "ENDMDL"])) == []
+    assert [len(f.positions) for f in text_formats.pdb(["MODEL 1", "ENDMDL", line, "ENDMDL"])] == [1]
 
 
 def test_gro_xyz_mol():
@@ -271,3 +279,26 @@ def test_streaming_appends_each_file_once(spark, tmp_path):
         stream_metrics(spark, source, sink, check, config).awaitTermination()
     out = spark.read.parquet(sink)
     assert sorted((r.frame, r.nclusters) for r in out.collect()) == [(0, 2), (1, 2)]
+
+
+@pytest.mark.parametrize("small", [20, 36, 37, 38, 45])
+def test_runs_at_every_kind_of_size_index(small):
+    rng = np.random.default_rng(small)
+    reach = SIZES[small] // 2 - 1
+    points = np.cumsum(rng.integers(-reach, reach + 1, (60, 3)), axis=0)
+    data, low, high, first = pack(points, small, 0)
+    assert np.array_equal(binary_formats.unpack_coordinates(data, 60, list(map(int, low)), list(map(int, high)), first), points)
+
+
+def test_empty_models_are_passed_over():
+    atom = "ATOM      1  O   HOH A   1    %8.3f%8.3f%8.3f  1.00  0.00           O"
+    lines = ["MODEL        1", atom % (1, 2, 3), "ENDMDL", "MODEL        2", "ENDMDL", "MODEL        3", atom % (4, 5, 6), "ENDMDL"]
+    frames = list(text_formats.pdb(lines))
+    assert [f.positions.tolist() for f in frames] == [[[1, 2, 3]], [[4, 5, 6]]]
+
+
+def test_result_tables_with_blanks_and_commas_in_sizes():
+    rows = results.parse_results("#! FIELDS time nclusters max_cluster elapsed cluster_sizes\n0.0 3 5 1.5 5,3,1\n1.0 2 4 2.5 1;4\n")
+    assert [(r[1], r[2], r[3], r[4], r[5]) for r in rows] == [(0.0, 3, 5, 1.5, [5, 3, 1]), (1.0, 2, 4, 2.5, [4, 1])]
+    rows = results.parse_results("frame,time,nclusters,max_cluster,elapsed_ms,cluster_sizes\n7,0.5,2,9,1.0,3;9\n")
+    assert rows == [(7, 0.5, 2, 9, 1.0, [9, 3])]

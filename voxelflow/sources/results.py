@@ -46,8 +46,11 @@ def json_rows(rows: DataFrame) -> DataFrame:
 
 
 def parse_results(text: str) -> list[tuple]:
-    """Rows of a result table: commas or blanks, @ lines skipped, the header perhaps behind # marks."""
-    names, rows = None, []
+    """Rows of a result table: fields apart by commas if the header's are, else by blanks; @ lines skipped, the header perhaps behind # marks.
+
+    Cluster sizes are apart by semicolons, in tables with blanks perhaps by commas.
+    """
+    names, commas, rows = None, False, []
     for line in text.splitlines():
         line = line.strip()
         if not line or line.startswith("@"):
@@ -56,9 +59,9 @@ def parse_results(text: str) -> list[tuple]:
             bare = re.sub(r"^(#!\s*FIELDS|#!|#)\s*", "", line)
             fields = [x for x in re.split(r"[,\s]+", bare) if x]
             if names is None and {NAMES.get(x.lower()) for x in fields} & {"time", "nclusters", "max_cluster"}:
-                names = [NAMES.get(x.lower()) for x in fields]
+                names, commas = [NAMES.get(x.lower()) for x in fields], "," in bare
             continue
-        fields = [x.strip() for x in line.split(",")] if "," in line and ";" in line or "," in line else line.split()
+        fields = [x.strip() for x in line.split(",")] if commas else line.split()
         got = {n: v for n, v in zip(names, fields, strict=False) if n}
         sizes = [int(x) for x in re.split("[;,]", got.get("cluster_sizes", "")) if x.strip()]
         number = lambda n, kind, got=got: kind(float(got[n])) if got.get(n) else kind(0)

@@ -43,7 +43,7 @@ def _after(pattern: str, text: str) -> float | None:
 
 
 def pdb(lines: Iterable[str]) -> Iterator[Frame]:
-    """Models of a PDB file. A cell record holds from there on; a MODEL record also ends a model without ENDMDL."""
+    """Models of a PDB file. A cell record holds from there on; a MODEL record also ends a model without ENDMDL; empty models are passed over."""
     rows: list = []
     cell, time = NO_CELL, 0.0
     for line in lines:
@@ -61,10 +61,9 @@ def pdb(lines: Iterable[str]) -> Iterator[Frame]:
                 rows = []
             time = _after(r"TIME=", line) or 0.0
         elif record == "ENDMDL":
-            if not rows:
-                return
-            yield _frame(rows, cell, time)
-            rows = []
+            if rows:
+                yield _frame(rows, cell, time)
+                rows = []
     if rows:
         yield _frame(rows, cell, time)
 
