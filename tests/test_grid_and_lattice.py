@@ -164,7 +164,7 @@ def test_seeds_and_probes_match_all_sites(spark, kind, centering):
     every = brute_sites(config, (7, 6, 5))
     occupied = {(r.i, r.j, r.k) for r in voxels.collect()}
     assert {(r.i, r.j, r.k) for r in seeds(voxels, grid, config).collect()} == occupied & set(every)
-    assert probes(config, (7, 6, 5), spark) == len(every)
+    assert probes(config, (7, 6, 5)) == len(every)
     assert {tuple(r) for r in census(spark, config, (7, 6, 5)).collect()} == set(every)
     assert sorted(tuple(r) for r in sites(spark, config, (7, 6, 5)).collect()) == sorted(every)
 

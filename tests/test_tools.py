@@ -1,10 +1,12 @@
 import itertools
+import random
 
 import pytest
 
 from voxelflow.config import Config
 from voxelflow.functions import sql, statistics
 from voxelflow.operators import tools
+from voxelflow.operators.components import components
 from voxelflow.operators.grid import grid_spec
 from voxelflow.operators.lattice import axis_table
 from voxelflow.operators.voxelize import rasterize
@@ -25,6 +27,33 @@ def test_sweep_over_offsets(spark):
     assert all(0 <= r.recall <= 1 and r.present == 2 for r in tools.recall(sweep).collect())
 
 
+def test_offset_sets():
+    config = Config(box="manual", bounds=(0.0, 8.0) * 3, spacing=1.0, dnn=3.0)
+    assert [c.lattice_origin for c in tools.offset_set(config, "diagonal8")] == [(-float(i),) * 3 for i in range(8)]
+    origins = [c.lattice_origin for c in tools.offset_set(config, "halton64")]
+    assert len(set(origins)) == 64 and origins[0] == (0, 0, 0) and all(0 <= x < 9 for o in origins for x in o)
+    with pytest.raises(ValueError):
+        tools.offset_set(config, "other")
+
+
+def test_strategies_reject_what_they_do_not_do(spark):
+    voxels = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 0)], "frame long, i int, j int, k int")
+    grid = spark.createDataFrame([(0, 2, 2, 1)], "frame long, nx int, ny int, nz int")
+    for connectivity, wrapped, strategy in ((26, None, "runs"), (6, grid, "runs"), (6, None, "other")):
+        with pytest.raises(ValueError):
+            components(voxels, connectivity, wrapped, strategy)
+
+
+def test_distributed_labels_are_the_grouped_ones(spark):
+    rng = random.Random(5)
+    cells = {(f, rng.randrange(12), rng.randrange(12), rng.randrange(12)) for f in range(3) for _ in range(300)}
+    voxels = spark.createDataFrame(sorted(cells), "frame long, i int, j int, k int")
+    for connectivity in (6, 18, 26):
+        want = sorted(map(tuple, components(voxels, connectivity).collect()))
+        assert sorted(map(tuple, components(voxels, connectivity, strategy="distributed").collect())) == want
+    assert sorted(map(tuple, components(voxels, 6, strategy="runs").collect())) == sorted(map(tuple, components(voxels, 6).collect()))
+
+
 def test_supervoxel_probe(spark):
     voxels = spark.createDataFrame([(0, *v) for v in itertools.product(range(6), repeat=3)], "frame long, i int, j int, k int")
     got = tools.supervoxel_probe(voxels, 3.0).first()

@@ -32,7 +32,8 @@ def halton(count: int) -> list[tuple[float, float, float]]:
 
 
 def diagonal(count: int = 8) -> list[tuple[float, float, float]]:
-    return [(i / count,) * 3 for i in range(count)]
+    """Lattice origins one voxel further back on every axis each, in voxels."""
+    return [(0.0 - i,) * 3 for i in range(count)]
 
 
 def occupancy_sha256(linear: np.ndarray, total: int) -> str:

@@ -49,10 +49,14 @@ def size_floor(truth: DataFrame, found: DataFrame) -> DataFrame:
 
     ``missed`` no voxel, ``truncated`` some, ``split`` several ids, else ``found``.
     """
-    named = found.select("frame", "i", "j", "k", F.col("label").alias("id"))
-    both = truth.join(named, ["frame", "i", "j", "k"], "left")
+    named = found.select("frame", "i", "j", "k", F.col("label").alias("found"))
+    return outcomes(truth.join(named, ["frame", "i", "j", "k"], "left"))
+
+
+def outcomes(both: DataFrame) -> DataFrame:
+    """The same from voxels that have a true label and, or null, a found one."""
     per = both.groupBy("frame", "label").agg(
-        F.count(F.lit(1)).alias("size"), F.count("id").alias("reached"), F.count_distinct("id").alias("ids")
+        F.count(F.lit(1)).alias("size"), F.count("found").alias("reached"), F.count_distinct("found").alias("ids")
     )
     outcome = F.when(F.col("reached") == 0, "missed").when(F.col("ids") > 1, "split").when(F.col("reached") < F.col("size"), "truncated").otherwise("found")
     return per.withColumn("outcome", outcome)

@@ -116,14 +116,34 @@ def per_frame(voxels: DataFrame, kernel, grid: DataFrame | None = None) -> DataF
 
 
 def components(voxels: DataFrame, connectivity: int = 6, grid: DataFrame | None = None, strategy: str = "grouped") -> DataFrame:
-    """(frame, i, j, k, label) of every occupied voxel."""
+    """(frame, i, j, k, label) of every occupied voxel.
+
+    ``runs`` knows 6-adjacency on open axes only and rejects others.
+    """
     if strategy == "grouped":
         return per_frame(voxels, lambda cells: component_labels(cells, connectivity), grid)
+    if strategy not in ("runs", "distributed"):
+        raise ValueError(f"no strategy named {strategy}")
+    if strategy == "runs" and (connectivity != 6 or grid is not None):
+        raise ValueError("runs join 6-adjacent voxels on open axes; use the distributed strategy for others")
     units = voxels.select("frame", *ORDER).distinct()
     edges = run_edges(units) if strategy == "runs" else neighbour_edges(units, connectivity, grid)
-    spread = spread_labels(units, edges)
-    rank = F.dense_rank().over(Window.partitionBy("frame").orderBy("first")) - 1
-    return spread.withColumn("label", rank.cast("long")).select("frame", *ORDER, "label")
+    return number_labels(spread_labels(units, edges))
+
+
+def number_labels(spread: DataFrame) -> DataFrame:
+    """Labels 0.. per frame in order of each component's first voxel, without bringing a frame's components into one task.
+
+    The first voxels are range-partitioned and numbered within their partitions; a frame's counts before a partition are then added.
+    """
+    firsts = spread.where(F.col("first") == F.struct(*ORDER)).select("frame", "first")
+    parts = firsts.repartitionByRange("frame", "first").withColumn("part", F.spark_partition_id()).checkpoint()
+    within = F.row_number().over(Window.partitionBy("part", "frame").orderBy("first")) - 1
+    counts = parts.groupBy("frame", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("frame").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = parts.withColumn("place", within).join(counts.select("frame", "part", before.alias("before")), ["frame", "part"])
+    numbered = numbered.select("frame", "first", (F.col("place") + F.col("before")).cast("long").alias("label"))
+    return spread.join(numbered, ["frame", "first"]).select("frame", *ORDER, "label")
 
 
 def neighbour_edges(voxels: DataFrame, connectivity: int, grid: DataFrame | None = None) -> DataFrame:

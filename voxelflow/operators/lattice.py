@@ -74,20 +74,41 @@ def seeds(voxels: DataFrame, grid: DataFrame, config: Config) -> DataFrame:
         if config.periodic:
             raise ConfigError("a periodic grid takes a cubic lattice only")
         return at.where(_general_hit(config)("i", "j", "k"))
-    # The grids of a run have few distinct shapes; their per-axis tables become literal sets of at most nx + ny + nz integers.
     if config.periodic:
-        wide = at.join(F.broadcast(grid.select("frame", "nx", "ny", "nz")), "frame") if grid.count() <= BROADCAST_FRAMES else at.join(grid.select("frame", "nx", "ny", "nz"), "frame")
-        hit = F.lit(False)
-        for dims in {tuple(r) for r in grid.select("nx", "ny", "nz").distinct().collect()}:
-            same = (F.col("nx") == dims[0]) & (F.col("ny") == dims[1]) & (F.col("nz") == dims[2])
-            hit = hit | (same & _table_hit(axis_tables(config, dims)))
-        return wide.where(hit).select("frame", "i", "j", "k", "lin")
+        # Asked by arithmetic, so that grids may be of any number of shapes.
+        shapes, edge = grid.select("frame", "nx", "ny", "nz"), F.lit(scaled_basis(config)[0][0])
+        for c, n in zip("ijk", ("nx", "ny", "nz"), strict=True):
+            shapes = shapes.withColumn(f"cells_{c}", F.greatest(F.lit(1.0), F.ceil(F.col(n) / edge - 1e-9).cast("double")))
+            shapes = shapes.withColumn(f"edge_{c}", F.col(n).cast("double") / F.col(f"cells_{c}"))
+        wide = at.join(F.broadcast(shapes) if grid.count() <= BROADCAST_FRAMES else shapes, "frame")
+        parts = sorted({o[k] for o in offsets for k in range(3)})
+        hits = {(k, o): f"hit_{c}_{m}" for k, c in enumerate("ijk") for m, o in enumerate(parts)}
+        for (k, o), name in hits.items():
+            wide = wide.withColumn(name, _wrapped_hit("ijk"[k], ("nx", "ny", "nz")[k], o, config.lattice_origin[k]))
+        met = reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.col(hits[k, o[k]]) for k in range(3)]) for o in offsets])
+        return wide.where(met).select("frame", "i", "j", "k", "lin")
+    # The largest grid's per-axis tables become literal sets of at most nx + ny + nz integers.
     largest = grid.agg(F.max("nx"), F.max("ny"), F.max("nz")).first()
     if largest[0] is None:
         return at
     return at.where(_table_hit(axis_tables(config, tuple(largest))))
 
 
+def _wrapped_hit(index: str, length: str, offset: float, origin: float) -> Column:
+    """Whether a site of a periodic cubic lattice, made commensurate with an axis, rounds to an index on it."""
+    edge, cells = F.col(f"edge_{index}"), F.col(f"cells_{index}")
+    near = F.floor((F.col(index) - F.lit(origin)) / edge - F.lit(offset) + 0.5).cast("double")
+    # The nearest site and its neighbours, each as it is numbered within the box.
+    steps = F.array(*[F.lit(float(d)) for d in (-1, 0, 1)])
+
+    def rounds_to(step: Column) -> Column:
+        place = edge * (F.pmod(near + step, cells) + F.lit(offset)) + F.lit(origin)
+        away = F.signum(place) * F.floor(F.abs(place) + 0.5)
+        return F.pmod(away.cast("long"), F.col(length).cast("long")) == F.col(index)
+
+    return F.exists(steps, rounds_to)
+
+
 def axis_tables(config: Config, dims: tuple[int, int, int]) -> list[list[set[int]]]:
     """Per centering offset and axis, the indices in a grid that a site of a cubic lattice rounds to."""
     offsets, origin = OFFSETS[config.lattice.centering], config.lattice_origin
@@ -142,7 +163,7 @@ def axis_table(edge: float, offset: float, origin: float, n: int) -> list[int]:
     return [p for p in places if 0 <= p < n]
 
 
-def probes(config: Config, dims: tuple[int, int, int], spark: SparkSession | None = None) -> int:
+def probes(config: Config, dims: tuple[int, int, int]) -> int:
     """Sites that fall into a grid, with repeats."""
     offsets = OFFSETS[config.lattice.centering]
     if config.periodic:
@@ -150,30 +171,57 @@ def probes(config: Config, dims: tuple[int, int, int], spark: SparkSession | Non
     if config.lattice.kind == "cubic":
         a = scaled_basis(config)[0][0]
         return sum(math.prod(len(axis_table(a, o[k], config.lattice_origin[k], dims[k])) for k in range(3)) for o in offsets)
-    return sites(spark, config, dims).count()
+    first, last = site_planes(config, dims)
+    return sum(len(at) for t in range(first, last) for at in plane_sites(config, dims, t))
 
 
-def sites(spark: SparkSession, config: Config, dims: tuple[int, int, int]) -> DataFrame:
-    """(i, j, k) of every site in a grid, with repeats; one plane of lattice indices is made at a time."""
-    basis = np.array(scaled_basis(config))
-    inverse = np.array(invert([list(r) for r in basis.T]))
+def probe_counts(config: Config, shapes: DataFrame) -> DataFrame:
+    """(nx, ny, nz, probes, dNN_vox) of each of the given grid shapes, counted in tasks."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(x, y, z, probes(config, (x, y, z)), commensurate(config, (x, y, z))[2] if config.periodic else float(config.dnn_voxels)) for x, y, z in batch.astype(int).itertuples(index=False)]
+            yield pd.DataFrame(found, columns=["nx", "ny", "nz", "probes", "dNN_vox"])
+
+    return shapes.select("nx", "ny", "nz").mapInPandas(run, "nx int, ny int, nz int, probes long, dNN_vox double")
+
+
+def _reach(config: Config, dims: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lattice indices that can fall into a grid, on each vector of the basis."""
+    inverse = np.array(invert([list(r) for r in np.array(scaled_basis(config)).T]))
     corners = np.array(list(itertools.product(*[(-1, n) for n in dims]))) - np.array(config.lattice_origin)
     reach = corners @ inverse.T
-    low, high = np.floor(reach.min(axis=0)).astype(int) - 2, np.ceil(reach.max(axis=0)).astype(int) + 2
-    offsets, origin = OFFSETS[config.lattice.centering], np.array(config.lattice_origin)
+    return np.floor(reach.min(axis=0)).astype(int) - 2, np.ceil(reach.max(axis=0)).astype(int) + 2
+
+
+def site_planes(config: Config, dims: tuple[int, int, int]) -> tuple[int, int]:
+    low, high = _reach(config, dims)
+    return int(low[0]), int(high[0]) + 1
+
+
+def plane_sites(config: Config, dims: tuple[int, int, int], t: int):
+    """Rounded places, in a grid and with repeats, of the sites of one plane of lattice indices."""
+    basis, origin = np.array(scaled_basis(config)), np.array(config.lattice_origin)
+    low, high = _reach(config, dims)
+    second, third = (g.ravel() for g in np.meshgrid(np.arange(low[1], high[1] + 1), np.arange(low[2], high[2] + 1), indexing="ij"))
+    for o in OFFSETS[config.lattice.centering]:
+        c0, c1, c2 = t + o[0], second + o[1], third + o[2]
+        x = np.stack([(c0 * basis[0][k] + c1 * basis[1][k]) + c2 * basis[2][k] + origin[k] for k in range(3)], axis=1)
+        whole = np.trunc(x)
+        at = (whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0)).astype(np.int64)
+        yield at[((at >= 0) & (at < np.array(dims))).all(axis=1)]
+
+
+def sites(spark: SparkSession, config: Config, dims: tuple[int, int, int]) -> DataFrame:
+    """(i, j, k) of every site in a grid, with repeats; one plane of lattice indices is made at a time."""
 
     def run(batches):
-        second, third = (g.ravel() for g in np.meshgrid(np.arange(low[1], high[1] + 1), np.arange(low[2], high[2] + 1), indexing="ij"))
         for batch in batches:
             for t in batch["id"]:
-                for o in offsets:
-                    c0, c1, c2 = t + o[0], second + o[1], third + o[2]
-                    x = np.stack([(c0 * basis[0][k] + c1 * basis[1][k]) + c2 * basis[2][k] + origin[k] for k in range(3)], axis=1)
-                    whole = np.trunc(x)
-                    at = (whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0)).astype(np.int64)
-                    yield pd.DataFrame(at[((at >= 0) & (at < np.array(dims))).all(axis=1)], columns=["i", "j", "k"])
+                for at in plane_sites(config, dims, int(t)):
+                    yield pd.DataFrame(at, columns=["i", "j", "k"])
 
-    return spark.range(int(low[0]), int(high[0]) + 1).mapInPandas(run, "i int, j int, k int")
+    return spark.range(*site_planes(config, dims)).mapInPandas(run, "i int, j int, k int")
 
 
 def census(spark: SparkSession, config: Config, dims: tuple[int, int, int]) -> DataFrame:
@@ -188,9 +236,18 @@ def census(spark: SparkSession, config: Config, dims: tuple[int, int, int]) -> D
     return made.distinct()
 
 
+def met_components(labels: DataFrame, seed_voxels: DataFrame) -> DataFrame:
+    """Labels (frame, i, j, k, label) with ``found``: components that hold a seed, numbered in order of their first seed; null for others.
+
+    The labels are read once. A component is no larger than its frame, which a labelling task holds as well.
+    """
+    marked = labels.join(seed_voxels.select("frame", "i", "j", "k", F.lit(True).alias("seeded")), ["frame", "i", "j", "k"], "left")
+    first = F.min(F.when(F.col("seeded"), F.struct("i", "j", "k"))).over(Window.partitionBy("frame", "label"))
+    ranked = (F.dense_rank().over(Window.partitionBy("frame").orderBy(F.col("seed").asc_nulls_last())) - 1).cast("long")
+    out = marked.withColumn("seed", first).withColumn("found", F.when(F.col("seed").isNotNull(), ranked))
+    return out.select("frame", "i", "j", "k", "label", "found")
+
+
 def lattice_clusters(labels: DataFrame, seed_voxels: DataFrame) -> DataFrame:
     """The components that hold a seed, labelled anew in order of their first seed; voxels of others are left out."""
-    hit = labels.join(seed_voxels.select("frame", "i", "j", "k"), ["frame", "i", "j", "k"])
-    first = hit.groupBy("frame", "label").agg(F.min(F.struct("i", "j", "k")).alias("seed"))
-    ranked = first.withColumn("found", (F.dense_rank().over(Window.partitionBy("frame").orderBy("seed")) - 1).cast("long"))
-    return labels.join(ranked.select("frame", "label", "found"), ["frame", "label"]).select("frame", "i", "j", "k", F.col("found").alias("label"))
+    return met_components(labels, seed_voxels).where("found is not null").select("frame", "i", "j", "k", F.col("found").alias("label"))

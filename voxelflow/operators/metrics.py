@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxelflow.config import Config
 from voxelflow.functions.statistics import occupancy_sha256
 from voxelflow.operators.cluster import summarize
-from voxelflow.operators.lattice import commensurate, probes
+from voxelflow.operators.lattice import probe_counts
 
 # The columns of the metrics file, in order.
 COLUMNS = (
@@ -39,11 +39,7 @@ def metrics(frames: DataFrame, grid: DataFrame, voxels: DataFrame, labels: DataF
     if lattice:
         seeded = seed_voxels.groupBy("frame").agg(F.count(F.lit(1)).cast("int").alias("seeds"))
         out = out.join(seeded, "frame", "left")
-        # Grids of one run have few distinct shapes; sites are counted once for each.
-        shapes = [(r["nx"], r["ny"], r["nz"]) for r in grid.select("nx", "ny", "nz").distinct().collect()]
-        spark = grid.sparkSession
-        rows = [(*d, probes(config, d, spark), commensurate(config, d)[2] if config.periodic else float(config.dnn_voxels)) for d in shapes]
-        out = out.join(F.broadcast(spark.createDataFrame(rows, "nx int, ny int, nz int, probes long, dNN_vox double")), ["nx", "ny", "nz"])
+        out = out.join(probe_counts(config, grid.select("nx", "ny", "nz").distinct()), ["nx", "ny", "nz"])
     else:
         out = out.withColumns({"seeds": F.lit(0), "probes": F.lit(0).cast("long"), "dNN_vox": F.lit(0.0)})
     steps = {f"h_{k}": F.sqrt(sum((F.col(f"{v}{c}") * F.col(f"{v}{c}") for c in "xyz"), F.lit(0.0))) / F.col(n) for k, v, n in zip("xyz", "abc", ("nx", "ny", "nz"), strict=True)}

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelflow.config import Config
+from voxelflow.config import Config, ConfigError
+from voxelflow.functions.statistics import diagonal, halton
 from voxelflow.operators.compare import recall_by_size, size_floor
 from voxelflow.operators.components import Cells, components
 from voxelflow.operators.kernels import resolution, supervoxel_seeds
@@ -38,11 +39,21 @@ def shifted(config: Config, offsets: list[tuple[float, float, float]]) -> list[C
     return [replace(config, lattice_origin=tuple(sum(o[v] * basis[v][k] for v in range(3)) for k in range(3))) for o in offsets]
 
 
-def offset_sweep(voxels: DataFrame, grid: DataFrame, config: Config, offsets: list[tuple[float, float, float]]) -> DataFrame:
+def offset_set(config: Config, name: str) -> list[Config]:
+    """The configuration at every origin of a named set: ``halton64`` over the lattice's cell, ``diagonal8`` in whole voxels."""
+    if name == "halton64":
+        return shifted(config, halton(64))
+    if name == "diagonal8":
+        return [replace(config, lattice_origin=o) for o in diagonal(8)]
+    raise ConfigError(f"no offset set named {name}")
+
+
+def offset_sweep(voxels: DataFrame, grid: DataFrame, config: Config, offsets: list[tuple[float, float, float]] | str) -> DataFrame:
     """(offset, size, present, missed, recall): the true components are found once and met by every shifted lattice."""
+    configs = offset_set(config, offsets) if isinstance(offsets, str) else shifted(config, offsets)
     truth = components(voxels, config.connectivity, grid if config.periodic else None).cache()
     runs = []
-    for n, c in enumerate(shifted(config, offsets)):
+    for n, c in enumerate(configs):
         found = lattice_clusters(truth, seeds(voxels, grid, c))
         runs.append(recall_by_size(size_floor(truth, found)).withColumn("offset", F.lit(n)))
     return reduce(DataFrame.unionByName, runs).select("offset", "size", "present", "missed", "recall")
@@ -55,12 +66,12 @@ def recall(sweep: DataFrame) -> DataFrame:
 
 
 def supervoxel_probe(voxels: DataFrame, eps: float) -> DataFrame:
-    """(frame, occupied, candidates, seeds, threshold) of the published supervoxel seeding."""
+    """(frame, occupied, candidates, seeds, threshold, kept_share, seeds_per_voxel) of the published supervoxel seeding."""
     s = resolution(eps)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cells = Cells(rows[["i", "j", "k"]].to_numpy())
         candidates, kept = supervoxel_seeds(cells, s)
-        return pd.DataFrame({"frame": [rows["frame"].iloc[0]], "occupied": [len(cells)], "candidates": [len(candidates)], "seeds": [len(kept)], "threshold": [np.pi * (s / 2) ** 2]})
+        return pd.DataFrame({"frame": [rows["frame"].iloc[0]], "occupied": [len(cells)], "candidates": [len(candidates)], "seeds": [len(kept)], "threshold": [np.pi * (s / 2) ** 2], "kept_share": [len(kept) / max(1, len(candidates))], "seeds_per_voxel": [len(kept) / max(1, len(cells))]})
 
-    return voxels.select("frame", "i", "j", "k").groupBy("frame").applyInPandas(run, "frame long, occupied long, candidates long, seeds long, threshold double")
+    return voxels.select("frame", "i", "j", "k").groupBy("frame").applyInPandas(run, "frame long, occupied long, candidates long, seeds long, threshold double, kept_share double, seeds_per_voxel double")
