@@ -56,4 +56,4 @@ def test_periodic_components_keep_every_voxel(spark, tmp_path):
                     stack.append(near)
         sizes.setdefault(frame, []).append(size)
     want = sorted((f, len(s), max(s), sum(s)) for f, s in sizes.items())
-    assert rows_of(catalogue.QUERIES["components6_pbc_whole"](spark, folder)) == want
+    assert rows_of(catalogue.QUERIES["components6_pbc"](spark, folder)) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def config(**changes) -> Config:
     return Config(**({"box": "manual", "bounds": BOUNDS, "spacing": 1.0, "lattice": Lattice("cubic", "F"), "dnn": 2.4} | changes))
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names; only a local master gets one of its own."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="voxelflow-")
+    spark.sparkContext.setCheckpointDir(named)
+
+
 def event_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select(
@@ -38,10 +52,10 @@ def event_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") < F.lit("1995-04-01").cast("timestamp_ntz"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return rows.select(
         F.col("l_linenumber").cast("long").alias("frame"), F.col("l_quantity").cast("int").alias("i"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("j"), F.round(F.col("l_tax") * 100).cast("int").alias("k"),
+        (F.round(F.col("l_discount") * 100) * 9 + F.round(F.col("l_tax") * 100)).cast("int").alias("j"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("k"),
     ).distinct()
 
 
@@ -53,7 +67,7 @@ def embedding_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENT_ATOMS = "select day(ts)::bigint as frame, event_id as atom, user_id / 6.0::double as x, hour(ts)::double as y, value / 20.0::double as z from events"
 EVENT_VOXELS = f"select distinct frame, floor(x)::int as i, y::int as j, floor(z)::int as k from ({EVENT_ATOMS})"
-LINEITEM_VOXELS = """select distinct l_linenumber::bigint as frame, l_quantity::int as i, round(l_discount * 100)::int as j,
-    round(l_tax * 100)::int as k from lineitem where l_shipdate < timestamp '1995-04-01'"""
+LINEITEM_VOXELS = """select distinct l_linenumber::bigint as frame, l_quantity::int as i, (round(l_discount * 100) * 9 + round(l_tax * 100))::int as j,
+    floor(l_extendedprice / 1000)::int as k from lineitem"""
 EMBEDDING_VOXELS = """select distinct label::bigint as frame, floor((embedding[1]::double + 1) * 20)::int as i,
     floor((embedding[2]::double + 1) * 20)::int as j, floor((embedding[3]::double + 1) * 20)::int as k from embeddings"""
