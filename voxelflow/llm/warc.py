@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and a reader for what it writes.
 
-Records are ordered by (shard, payload digest, page_id descending); a shard is a slice of the digest's range, so the same
-table gives the same files wherever it is read or retried. Equal payloads meet next to each other: the
+Records are ordered by (shard, payload digest, page_id descending); a shard is a slice of the digest's range and one task's
+partition, so the same table gives the same files wherever it is read or retried. Equal payloads meet next to each other: the
 first, of the largest page_id, is the response and the others revisit it. Payloads that a large share of all rows repeats
 (at most ``HOT_CLASSES`` by construction) are found beforehand; their revisits are dealt by page instead and travel without payload.
 
@@ -111,7 +111,8 @@ def write_warc(spark: SparkSession, pages: DataFrame, uri: str, min_bytes: int =
     """Write all pages under ``uri`` and return the manifest (file, shard, records, bytes, sha1), itself written there.
 
     Null html is an empty payload; null urls are empty. Payloads below ``min_bytes`` are all responses. A null page_id is
-    the smallest. Repeated rows are records of their own, the first of which the others revisit. Further columns are not read.
+    the smallest. Repeated rows are records of their own, the first of which the others revisit. Payloads of any length are one record.
+    An empty table gives no files and an empty manifest. Further columns are not read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -135,7 +136,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, uri: str, min_bytes: int =
         F.when(away, F.lit(None)).otherwise(F.col("payload")).alias("payload"),
         F.when(away, F.col("hot_first")).alias("refers_to"),
     )
-    ordered = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "sha1", F.col("page_id").desc_nulls_last(), "url")
+    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "sha1", F.col("page_id").desc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, before, first, same = None, None, None, 0
