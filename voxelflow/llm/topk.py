@@ -26,7 +26,7 @@ K = 5
 QUERY_EVERY = 50
 SHARD_ROWS = 8_000
 LEAF_ROWS = 256
-BLOCK_QUERIES = 4096
+BLOCK_QUERIES = 16_384
 EXACT = 2.0**52
 
 
@@ -127,27 +127,31 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = QUER
 
     Queries are the rows whose vec_id is divisible by ``every``; a repeated id is a query each time, and its other
     rows are candidates. Vectors of another length are no candidates. Integer components beyond the range of a long are
-    held at its ends, as are scores. Null ids are candidates after all others. Further columns are not read.
+    held at its ends, as are scores. Null ids are candidates after all others. Vectors of any length are read whole, and an empty table gives an
+    empty result. Further columns are not read.
     """
     scratch = Scratch(spark, "topk")
     rows = scratch.table(integer_vectors(vectors).withColumn("width", F.size("v")), "rows")
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    index = scratch.table(dealt.groupBy("width", "shard").applyInPandas(_build, "width int, shard int, tree binary"), "index")
+    # One shard of each width goes first; its trees are a table of their own, so that neither pass reads the other's.
+    first = dealt.groupBy("width").agg(F.min("shard").alias("first"))
+    marked = dealt.join(first, "width").withColumn("leads", F.col("shard") == F.col("first"))
+    build = lambda some: some.groupBy("width", "shard").applyInPandas(_build, "width int, shard int, tree binary")
+    leading = scratch.table(build(marked.where("leads")), "leading")
+    others = scratch.table(build(marked.where("not leads")), "others")
     queries = rows.where(F.col("vec_id") % every == 0)
     n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(n_blocks)).cast("int"))
-    # One shard of each width goes first; vectors of one table are nearly always of one width.
-    first = {r["width"]: r["shard"] for r in index.groupBy("width").agg(F.min("shard").alias("shard")).collect()}
     schema = "query_row long, query_id long, vec_id long, row long, score long"
 
-    def walk(shared, lead: bool):
+    def walk(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by_width = {w: (list(b[0]), b[1], b[2], list(b[3])) for w, b in shared.value.items()}
             best = {w: [[] for _ in b[0]] for w, b in by_width.items()}
             for batch in batches:
-                for width, shard, raw in zip(batch["width"], batch["shard"], batch["tree"], strict=True):
-                    if width in by_width and lead == (first[width] == shard):
+                for width, raw in zip(batch["width"], batch["tree"], strict=True):
+                    if width in by_width:
                         _, matrix, own, floors = by_width[width]
                         search(pickle.loads(raw), matrix, own, floors, k, best[width])
             clip = lambda s: max(-(2**63), min(2**63 - 1, s))
@@ -169,12 +173,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = QUER
             for column, value in zip(block[r["width"]], (r["vec_id"], r["v"], r["row"], None), strict=True):
                 column.append(value)
         block = {w: (ids, np.array(v, np.int64).reshape(len(ids), w), np.array(own), floors) for w, (ids, v, own, floors) in block.items()}
-        lead = index.mapInPandas(walk(spark.sparkContext.broadcast(block), True), schema)
+        lead = leading.select("width", "tree").mapInPandas(walk(spark.sparkContext.broadcast(block)), schema)
         lead = scratch.table(lead, f"lead-{b}")
         kth = lead.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
         floor = {r["query_row"]: r["kth"] for r in kth.collect()}  # a number a query of the block
         block = {w: (ids, v, own, [floor.get(int(x)) for x in own]) for w, (ids, v, own, _) in block.items()}
-        rest = index.mapInPandas(walk(spark.sparkContext.broadcast(block), False), schema)
+        rest = others.select("width", "tree").mapInPandas(walk(spark.sparkContext.broadcast(block)), schema)
         parts += [lead, scratch.table(rest, f"rest-{b}")]
     every_hit = parts[0]
     for p in parts[1:]:
