@@ -27,6 +27,7 @@ QUERY_EVERY = 50
 SHARD_ROWS = 8_000
 LEAF_ROWS = 256
 BLOCK_QUERIES = 16_384
+BROADCAST_WIDTHS = 100_000
 EXACT = 2.0**52
 
 
@@ -135,7 +136,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = QUER
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     # One shard of each width goes first; its trees are a table of their own, so that neither pass reads the other's.
-    first = dealt.groupBy("width").agg(F.min("shard").alias("first"))
+    first = scratch.table(dealt.groupBy("width").agg(F.min("shard").alias("first")), "first")
+    first = F.broadcast(first) if first.count() <= BROADCAST_WIDTHS else first
     marked = dealt.join(first, "width").withColumn("leads", F.col("shard") == F.col("first"))
     build = lambda some: some.groupBy("width", "shard").applyInPandas(_build, "width int, shard int, tree binary")
     leading = scratch.table(build(marked.where("leads")), "leading")
