@@ -6,9 +6,10 @@ table, contracts each word's leftmost pair of minimum rank and repeats until no
 aggregation gives a word's ids, and another one over the token table decodes them. Documents are put together
 from their words. Nothing is shuffled.
 
-Texts are cut at single blanks before the pattern runs, so that it runs once per distinct piece: the
+Texts are cut at single blanks before the pattern runs, so that it runs once per distinct part: the
 pattern never matches across a blank that stands between two non-blanks, other than to begin there.
-Texts where a blank touches other white space go through the pattern whole.
+Texts where a blank touches other white space, or white space stands at an end, go through the pattern whole. Cutting texts, numbering their
+parts and putting their results together are vectorised; Python sees each distinct part of a chunk once.
 
 A word of more than ``PIECE_BYTES`` bytes is cut into pieces of that size, which are contracted as words. Whether two neighbouring results
 may stand side by side is read off a window of the tokens around their seam: a sequence is the encoding of its bytes
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from voxelflow.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 8_000_000
 WORDS_PER_QUERY = 20_000
 ROWS_PER_QUERY = 1_000_000
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 300_000
 PIECE_BYTES = 96
 SEAM_TOKENS = 8
 DUCKDB_MEMORY = "200MB"
-EDGE_BLANKS = regex.compile(r" \s|\s |\A\s|\s\Z")
 
 # step: the words that the last turn changed. best: rank, position and next position of the pair to contract.
 ENCODE = """
@@ -62,7 +63,7 @@ with recursive step(word, pos, tok, turn) as (
     ) b on b.word = s.word
     where s.pos <> (b.best & 4194303)
 )
-select s.word, list(s.tok order by s.pos) as ids, string_agg(t.bytes, '' order by s.pos) as decoded
+select s.word, string_agg(t.name, ' ' order by s.pos) as ids, count(*)::int as n, unhex(string_agg(t.bytes, '' order by s.pos)) as decoded
 from step s
 join (select word, max(turn) as turn from step group by word) done using (word, turn)
 join tokens t on t.id = s.tok
@@ -99,7 +100,7 @@ with recursive step(word, pos, tok, turn) as (
         where b.low is not null and gone.pos is null
     )
 )
-select s.word, list(s.tok order by s.pos) as ids, string_agg(t.bytes, '' order by s.pos) as decoded
+select s.word, string_agg(t.name, ' ' order by s.pos) as ids, count(*)::int as n, unhex(string_agg(t.bytes, '' order by s.pos)) as decoded
 from step s
 join (select word, max(turn) as turn from step group by word) done using (word, turn)
 join tokens t on t.id = s.tok
@@ -131,7 +132,7 @@ class Codec:
                         soonest[part] = min(rank, soonest.get(part, rank))
         alone = [soonest.get(rank, rank + 1) <= rank for rank in merged]
         self.merges = pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(merged, pa.int32()), "alone": pa.array(alone)})
-        self.tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [t.hex() for t in ranks]})
+        self.tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "name": [str(r) for r in ranks.values()], "bytes": [t.hex() for t in ranks]})
         self.db = None
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
@@ -155,8 +156,8 @@ class Codec:
         gc.collect()
         release_memory()
 
-    def _contract(self, raw: list[bytes], query: str = ENCODE) -> list[tuple[list[int], bytes]]:
-        """Ids and decoded bytes of some non-empty pieces, in batches of bounded size."""
+    def _contract(self, raw: list[bytes], query: str = ENCODE) -> list[tuple[str, int, bytes]]:
+        """Ids joined by blanks, how many, and decoded bytes of some non-empty pieces, in batches of bounded size."""
         self.open()
         # A piece of n bytes makes about n * n / 2 rows.
         rows, found, start = 0, [], 0
@@ -167,7 +168,7 @@ class Codec:
             rows += len(piece) ** 2 // 2
         return found + (self._query(raw[start:], query) if start < len(raw) else [])
 
-    def _query(self, raw: list[bytes], query: str) -> list[tuple[list[int], bytes]]:
+    def _query(self, raw: list[bytes], query: str) -> list[tuple[str, int, bytes]]:
         size = np.array([len(b) for b in raw], dtype=np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
         rows = {
@@ -177,14 +178,14 @@ class Codec:
         }
         self.db.register("pieces", pa.table(rows))
         found: list = [None] * len(raw)
-        for word, ids, decoded in self.db.execute(query).fetchall():
-            found[word] = (ids, bytes.fromhex(decoded))
+        for word, *result in self.db.execute(query).fetchall():
+            found[word] = tuple(result)
         self.db.unregister("pieces")
         return found
 
     def _each_once(self, raw: list[bytes], query: str = ENCODE) -> dict[bytes, list[int]]:
         distinct = sorted(set(raw), key=len)
-        return {b: ids for b, (ids, _) in zip(distinct, self._contract(distinct, query), strict=True)}
+        return {b: list(map(int, ids.split())) for b, (ids, _, _) in zip(distinct, self._contract(distinct, query), strict=True)}
 
     def _contract_long(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words of any length: of their pieces, put together at the seams."""
@@ -222,29 +223,45 @@ class Codec:
                 parts[k] = [met[whole[k, g[0]]] if len(g) > 1 else parts[k][g[0]] for g in groups]
         return done
 
-    def learn(self, words: set[str]) -> None:
-        """Make sure that ``known``, or ``long`` for long ones, has all these words."""
-        if len(self.known) > KNOWN_WORDS:  # two generations: words that are met again move to the younger one
+    def learn(self, parts: list[str]) -> list[tuple[str, int, bytes]]:
+        """(ids joined by blanks, how many, decoded bytes) of each part of a text, a part being one or more matches of the pattern."""
+        if len(self.known) > KNOWN_WORDS:  # two generations: parts that are met again move to the younger one
             self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new, words = {}, set()
+        for p in parts:
+            if p not in known:
+                if (met := older.get(p)) is not None:
+                    known[p] = met
+                else:
+                    found = self.pattern.findall(p)
+                    words.update(found)
+                    if len(found) > 1:
+                        new[p] = found
         todo, long = [], []
         for w in words:
-            if w not in self.known:
-                if (met := self.older.pop(w, None)) is not None:
-                    self.known[w] = met
+            if w not in known:
+                if (met := older.get(w)) is not None:
+                    known[w] = met
                     continue
                 raw = w.encode("utf-8", "replace")
                 rank = self.ranks.get(raw)
                 if rank is not None:
-                    self.known[w] = (str(rank), 1, raw)
+                    known[w] = (str(rank), 1, raw)
                 else:
                     (todo if len(raw) <= PIECE_BYTES else long).append((w, raw))
         # Long words take as many turns as they have merges, so they don't hold up the others.
         todo.sort(key=lambda x: len(x[1]))
-        for (w, _), (ids, decoded) in zip(todo, self._contract([raw for _, raw in todo]), strict=True):
-            self.known[w] = (" ".join(map(str, ids)), len(ids), decoded)
+        for (w, _), result in zip(todo, self._contract([raw for _, raw in todo]), strict=True):
+            known[w] = result
         self.long = {}
         for (w, _), ids in zip(long, self._contract_long([raw for _, raw in long]), strict=True):
             self.long[w] = (" ".join(map(str, ids)), len(ids), self._decode(ids))
+        for p, found in new.items():
+            own = [known.get(w) or self.long[w] for w in found]
+            whole = (" ".join([x[0] for x in own]), sum([x[1] for x in own]), b"".join([x[2] for x in own]))
+            (known if len(p) <= PIECE_BYTES else self.long)[p] = whole
+        return [known.get(p) or self.long[p] for p in parts]
 
     def _decode(self, ids: list[int]) -> bytes:
         """Ordered aggregation over the token table."""
@@ -256,29 +273,42 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[str], int, list[bytes]]]:
         """For each text its ids as strings of ids, how many ids, and the decoded pieces."""
-        cut, pieces = [], set()
-        for t in texts:
-            if not t:
-                own = []
-            elif "\0" in t or EDGE_BLANKS.search(t):
-                own = self.pattern.findall(t)
-            else:
-                own = t.replace(" ", "\0 ").split("\0")
-            cut.append(own)
-            pieces.update(own)
-        words = {p: self.pattern.findall(p) for p in pieces}
-        self.learn({w for found in words.values() for w in found})
-        known = {**self.known, **self.long} if self.long else self.known
-        whole = {}
-        for p, found in words.items():
-            if len(found) == 1:
-                whole[p] = known[found[0]]
-            else:
-                parts = [known[w] for w in found]
-                whole[p] = (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts]))
-        for own in cut:
-            parts = [whole[p] for p in own]
-            yield [x[0] for x in parts], sum([x[1] for x in parts]), [x[2] for x in parts]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends, numbered = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        distinct, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), np.diff(ends))
+        edged = np.array([not w or w[0].isspace() or w[-1].isspace() for w in distinct], bool)
+        whole = np.zeros(len(texts), bool)  # texts that the pattern must see whole
+        whole[of[edged[number]]] = True
+        first = np.zeros(len(number), bool)
+        first[ends[:-1]] = True  # the other parts begin with their blank
+        cut = ~whole[of]
+        code = (number * 2 + first)[cut]
+        met = np.zeros(2 * len(distinct), bool)
+        met[code] = True
+        parts = [distinct[c >> 1] if c & 1 else " " + distinct[c >> 1] for c in np.flatnonzero(met).tolist()]
+        done = dict(zip(np.flatnonzero(~whole).tolist(), self._together(parts, (np.cumsum(met) - 1)[code], np.bincount(of[cut], minlength=len(texts))[~whole]), strict=True))
+        places: dict[str, int] = {}
+        matches = [[places.setdefault(w, len(places)) for w in self.pattern.findall(texts[at])] for at in np.flatnonzero(whole).tolist()]
+        sizes = np.array([len(m) for m in matches], np.int64)
+        done.update(zip(np.flatnonzero(whole).tolist(), self._together(list(places), np.array([x for m in matches for x in m], np.int64), sizes), strict=True))
+        for at in range(len(texts)):
+            ids, n, raw = done[at]
+            yield [ids] if n else [], n, [raw]
+
+    def _together(self, parts: list[str], places: np.ndarray, sizes: np.ndarray) -> list[tuple[str, int, bytes]]:
+        """The results of texts of ``sizes`` parts each, which are those at ``places``."""
+        got = self.learn(parts)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        counted = np.concatenate([[0], np.cumsum(np.array([x[1] for x in got], np.int64)[places])])
+        n = counted[ends[1:]] - counted[ends[:-1]]
+        at = pa.array(places)
+
+        def joined(column: int, kind: pa.DataType, between: str | bytes) -> list:
+            rows = pa.array([x[column] for x in got], kind).take(at)
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), pa.scalar(between, kind)).to_pylist()
+
+        return list(zip(joined(0, pa.large_string(), " "), n.tolist(), joined(2, pa.large_binary(), b""), strict=True))
 
 
 def release_memory() -> None:
