@@ -148,11 +148,11 @@ class Codec:
                 self.db.unregister("incoming")
 
     def close(self) -> None:
-        """Give the tables' memory back; the words met lately stay."""
+        """Give the tables' memory back; of the parts met lately the younger generation stays."""
         if self.db is not None:
             self.db.close()
             self.db = None
-        self.long = {}
+        self.long, self.older = {}, {}
         gc.collect()
         release_memory()
 

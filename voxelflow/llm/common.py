@@ -59,16 +59,19 @@ class Scratch:
             delete(self.spark, self.path(name))
 
     def release_memory(self) -> None:
-        """After a step: let Spark's cleaner delete the shuffle files of steps that are over, and executors give back heap.
-
-        An executor's heap grows with the garbage of a step and stays, while Python workers need memory in the same container. A collection
-        in each executor returns what is free; it takes tenths of a second.
-        """
-        context = self.spark.sparkContext
-        context._jvm.System.gc()
-        cores = max(1, context.defaultParallelism)
-        collected = self.spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("done"))
-        collected.agg(F.count("done")).collect()
+        release_memory(self.spark)
+
+
+def release_memory(spark: SparkSession) -> None:
+    """After a step: let Spark's cleaner delete the shuffle files of steps that are over, and executors give back heap.
+
+    An executor's heap grows with the garbage of a step and stays, while Python workers need memory in the same container. A collection
+    in each executor returns what is free; it takes tenths of a second.
+    """
+    spark.sparkContext._jvm.System.gc()
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    collected = spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("done"))
+    collected.agg(F.count("done")).collect()
 
 
 def fold(doc_id: Column) -> Column:

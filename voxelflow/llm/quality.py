@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelflow.llm.common import bounded_sample, held_out, labelled, table
+from voxelflow.llm.common import bounded_sample, held_out, labelled, release_memory, table
 
 PASSAGE_BYTES = 512
 MAX_LABELLED = 6000
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 def score_column(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Column:
     """Train, and give the score in [0, 1] as a column over ``text``; null and empty texts are one empty passage."""
     shared = spark.sparkContext.broadcast(fit(docs, labels))
+    release_memory(spark)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelflow.llm.common import bounded_sample, held_out, labelled, table
+from voxelflow.llm.common import bounded_sample, held_out, labelled, release_memory, table
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
@@ -275,7 +275,9 @@ def fit(
 
 def score_column(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Column:
     """Train, and give the score as a column over ``text``."""
-    return scorer(spark, *fit(docs, labels))("text")
+    fitted = fit(docs, labels)
+    release_memory(spark)
+    return scorer(spark, *fitted)("text")
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
