@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_kd_tree_top_k": topk.ORACLE,
     "op5_sharded_warc": warc.ORACLE,
+    "op6_bottom_k_near_duplicates": neardup.ORACLE,
     "op7_token_level_chat": chat.ORACLE,
 }
