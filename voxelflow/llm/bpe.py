@@ -148,11 +148,11 @@ class Codec:
                 self.db.unregister("incoming")
 
     def close(self) -> None:
-        """Give the tables' memory back; of the parts met lately the younger generation stays."""
+        """Give the tables' memory back; the parts met lately stay, within KNOWN_WORDS a generation."""
         if self.db is not None:
             self.db.close()
             self.db = None
-        self.long, self.older = {}, {}
+        self.long = {}
         gc.collect()
         release_memory()
 
