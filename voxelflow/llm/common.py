@@ -13,9 +13,11 @@ HELD_OUT_MODULUS = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local master may do without and gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="voxelflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
