@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from voxelflow.functions.statistics import kendall_tau
+
 
 def running_totals(rows: DataFrame, elapsed: str = "elapsed_ms", rss: str = "rss_bytes") -> DataFrame:
     """(frame, cumulative_ms, peak_rss_bytes, replicate): running sum and running maximum over the frame sequence of a replicate."""
@@ -20,15 +24,10 @@ def _numbered(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(place.alias("place"), *named)
 
 
-def kendall(a: str, b: str):
-    """Kendall's tau of two array columns over their common length, by array functions; no untied pair gives 1."""
-    n = F.least(F.size(a), F.size(b))
-    at = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), n))
-    signs = F.flatten(
-        F.transform(at, lambda p: F.transform(F.filter(at, lambda q: q > p), lambda q: F.signum(F.element_at(F.col(a), p) - F.element_at(F.col(a), q)) * F.signum(F.element_at(F.col(b), p) - F.element_at(F.col(b), q))))
-    )
-    untied = F.filter(signs, lambda s: s != 0)
-    return F.when(F.size(untied) < 1, 1.0).otherwise(F.aggregate(untied, F.lit(0.0), lambda t, s: t + s) / F.size(untied))
+@F.pandas_udf(DoubleType())
+def kendall(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Kendall's tau of two array columns over their common length; no untied pair gives 1. Lists are as long as a frame has clusters."""
+    return pd.Series([kendall_tau(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def compare_runs(ours: DataFrame, other: DataFrame) -> DataFrame:
