@@ -3,10 +3,15 @@
 import random
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tests import oracles as o
 from voxelflow.functions.statistics import kendall_tau
+from voxelflow.operators import kernels
 from voxelflow.operators.compare import compare_runs
+from voxelflow.operators.components import Cells
 
 
 def plain_tau(a, b):
@@ -30,3 +35,30 @@ def test_comparison_of_many_clusters(spark):
     start = time.perf_counter()
     assert compare_runs(run, run).first().mean_tau == 1.0
     assert time.perf_counter() - start < 60
+
+
+def wide_frame(planes, seed):
+    """A frame like those of the tables: dense at low k, thin above, many planes along i."""
+    rng = np.random.default_rng(seed)
+    n = 14 * planes
+    k = np.minimum(rng.exponential(2.5, n).astype(int), 27)
+    return Cells(np.stack([rng.integers(0, planes, n), rng.integers(0, 24, n), k], axis=1))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_hdbscan_with_far_voxels_is_the_complete_graphs(seed):
+    rng = random.Random(seed)
+    voxels = {(rng.randrange(5) + 30 * rng.randrange(2), rng.randrange(5), rng.randrange(4)) for _ in range(70)} | {(90, 0, 70), (200, 5, 5)}
+    min_samples, min_size = rng.randint(2, 6), rng.randint(1, 6)
+    c = Cells(np.array(sorted(voxels)))
+    labels = kernels.hdbscan(c, min_samples, min_size)
+    got = {frozenset(map(tuple, c.ijk[labels == x].tolist())) for x in set(labels.tolist()) - {-1}}
+    assert got == o.hdbscan_levels(sorted(voxels), min_samples, min_size, None)
+
+
+def test_hdbscan_of_a_large_frame():
+    c = wide_frame(5000, 1)
+    start = time.perf_counter()
+    labels = kernels.hdbscan(c, 5, 5)
+    assert len(c) > 50_000 and labels.max() > 0
+    assert time.perf_counter() - start < 30

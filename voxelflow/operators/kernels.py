@@ -17,6 +17,7 @@ from voxelflow.operators.components import Cells, component_labels, dense, half_
 AXIS_STEPS = ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))
 KMEANS_ROUNDS = 1_000_000
 FLOW_ROUNDS = 5
+PAIRS_AT_ONCE = 2_000_000
 
 
 def ball(radius: float) -> list[tuple[int, int, int]]:
@@ -128,19 +129,124 @@ def squared(cells: Cells, of: np.ndarray, to: np.ndarray) -> np.ndarray:
     return (d * d).sum(axis=-1)
 
 
-def _reachability_tree(cells: Cells, core: np.ndarray) -> list[tuple[int, int, int]]:
-    """A minimum spanning tree (weight, a, b) of mutual reachability, by Prim's rule over one row of distances at a time."""
+def _whole_ball(cells: Cells, radius: int) -> np.ndarray:
+    """Offsets within a distance, the zero offset too, nearest first; on a periodic axis one of each voxel's images, on an open one no farther than the voxels reach."""
+    axes = []
+    for axis in range(3):
+        if cells.dims is None:
+            reach = min(radius, int(cells.span[axis]) - 3)
+            axes.append(np.arange(-reach, reach + 1))
+        else:
+            d = int(cells.dims[axis])
+            axes.append(np.arange(max(-radius, -((d - 1) // 2)), min(radius, d // 2) + 1))
+    o = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 3)
+    apart = (o * o).sum(axis=1)
+    kept = apart <= radius * radius
+    return o[kept][np.argsort(apart[kept], kind="stable")]
+
+
+def _pairs_within(cells: Cells, of: np.ndarray, radius: int):
+    """Blocks (a, b, squared distance) of the pairs of the voxels ``of`` with all voxels within a distance, a voxel with itself too.
+
+    Either every offset is looked up or, where the ball holds more offsets than there are voxels around, those voxels are tried.
+    """
     n = len(cells)
-    best, parent, done = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), np.zeros(n, bool)
-    tree, now = [], 0
-    for _ in range(n - 1):
-        done[now] = True
-        weight = np.maximum(np.maximum(squared(cells, cells.ijk, cells.ijk[now]), core), core[now])
-        closer = ~done & (weight < best)
-        best[closer], parent[closer] = weight[closer], now
-        now = int(np.where(done, np.iinfo(np.int64).max, best).argmin())
-        tree.append((int(best[now]), int(parent[now]), now))
-    return tree
+    if cells.dims is None:
+        first, last = (np.searchsorted(cells.ijk[:, 0], cells.ijk[of, 0] + r, side) for r, side in ((-radius, "left"), (radius, "right")))
+    else:
+        first, last = np.zeros(len(of), np.int64), np.full(len(of), n)
+    around = last - first
+    reach = cells.span - 3 if cells.dims is None else cells.dims // 2
+    if around.sum() > len(of) * min(4.2 * (radius + 0.5) ** 3, math.prod((2 * np.minimum(reach, radius) + 1).tolist())):
+        offsets = _whole_ball(cells, radius)
+        step = max(1, PAIRS_AT_ONCE // len(offsets))
+        for at in range(0, len(of), step):
+            own = of[at : at + step]
+            there = cells.find(cells.ijk[own][:, None, :] + offsets)
+            row, column = np.nonzero(there >= 0)
+            yield own[row], there[row, column], (offsets[column] ** 2).sum(axis=1)
+        return
+    ends = np.concatenate([[0], np.cumsum(around)])
+    at = 0
+    while at < len(of):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS_AT_ONCE, "right")) - 1)
+        size = around[at:stop]
+        a = np.repeat(of[at:stop], size)
+        b = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at:stop], size)
+        apart = squared(cells, cells.ijk[a], cells.ijk[b])
+        near = apart <= radius * radius
+        yield a[near], b[near], apart[near]
+        at = stop
+
+
+def _core_distances(cells: Cells, count: int) -> np.ndarray:
+    """Squared distance of each voxel to the ``count``-th nearest, itself counted; balls grow until they hold that many."""
+    core, left, radius = np.zeros(len(cells), np.int64), np.arange(len(cells)), 2
+    while len(left):
+        open_after = []
+        for a, _, apart in _pairs_within(cells, left, radius):
+            order = np.lexsort((apart, a))
+            a, apart = a[order], apart[order]
+            start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            enough = np.diff(np.r_[start, len(a)]) >= count
+            core[a[start[enough]]] = apart[start[enough] + count - 1]
+            open_after.append(a[start[~enough]])
+        left = np.concatenate(open_after)
+        radius = max(radius + 1, radius * 3 // 2)
+    return core
+
+
+class _Merges:
+    """The hierarchy of mutual reachability: node x < n is a voxel, others are components as they come together at a squared distance.
+
+    Children come before their parents, all that meet at one distance under one parent. Distances are worked off in rising order: an edge between
+    components weighs at least as much as the voxels are apart, so a radius settles all weights up to its square, and larger ones are only
+    looked for around the voxels outside the largest component.
+    """
+
+    def __init__(self, cells: Cells, core: np.ndarray):
+        n = len(cells)
+        self.node, left, radius = np.arange(n), np.arange(n), 2
+        self.parent, self.level, self.size, self.first = np.full(n, -1), core, np.ones(n, np.int64), np.arange(n)
+        while True:
+            found, asked = [np.zeros((3, 0), np.int64)], np.zeros(n, bool)
+            asked[left] = True
+            for a, b, apart in _pairs_within(cells, left, radius):
+                weight = np.maximum(np.maximum(core[a], core[b]), apart)
+                kept = (self.node[a] != self.node[b]) & (weight <= radius * radius) & ((a < b) | ~asked[b])
+                found.append(np.stack([weight[kept], a[kept], b[kept]]))
+            weight, a, b = np.concatenate(found, axis=1)
+            order = np.argsort(weight, kind="stable")
+            weight, a, b = weight[order], a[order], b[order]
+            bounds = [*np.flatnonzero(np.diff(weight, prepend=-1)).tolist(), len(weight)]
+            for at, stop in itertools.pairwise(bounds):
+                self._merge(int(weight[at]), a[at:stop], b[at:stop])
+            nodes, inverse, sizes = np.unique(self.node, return_inverse=True, return_counts=True)
+            if len(nodes) == 1:
+                return
+            left = np.flatnonzero(inverse != sizes.argmax())
+            radius = max(radius + 1, radius * 3 // 2)
+
+    def _merge(self, weight: int, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.node[a], self.node[b]
+        apart = x != y
+        if not apart.any():
+            return
+        old, ends = np.unique(np.concatenate([x[apart], y[apart]]), return_inverse=True)
+        half = len(ends) // 2
+        groups, into = np.unique(minimum_labels(len(old), ends[:half], ends[half:]), return_inverse=True)
+        into, made = into + len(self), np.full(len(groups), -1)
+        self.parent[old] = into
+        self.parent, self.level = np.append(self.parent, made), np.append(self.level, np.full(len(groups), weight))
+        self.size, self.first = np.append(self.size, 0 * made), np.append(self.first, len(self.node) + 0 * made)
+        np.add.at(self.size, into, self.size[old])
+        np.minimum.at(self.first, into, self.first[old])
+        moved = np.arange(len(self))
+        moved[old] = into
+        self.node = moved[self.node]
+
+    def __len__(self) -> int:
+        return len(self.parent)
 
 
 def hdbscan(cells: Cells, min_samples: int, min_cluster_size: int) -> np.ndarray:
@@ -148,59 +254,53 @@ def hdbscan(cells: Cells, min_samples: int, min_cluster_size: int) -> np.ndarray
     if min_samples < 2 or min_cluster_size < 1:
         raise ValueError("min_samples must be at least 2 and min_cluster_size at least 1")
     n = len(cells)
-    label = np.full(n, -1)
     if n < min_samples:
-        return label
-    core = np.array([np.partition(squared(cells, cells.ijk, v), min_samples - 1)[min_samples - 1] for v in cells.ijk])
-    tree = _reachability_tree(cells, core)
-    clusters = [{"birth": 0.0, "members": list(range(n)), "edges": tree, "children": [], "mass": 0.0, "born": list(range(n))}]
-    live = [0]
-    for w in sorted({e[0] for e in tree} | set(core.tolist()), reverse=True):
-        gain_to = 1 / math.sqrt(w)
-        still = []
-        for c in live:
-            own = clusters[c]
-            if not any(e[0] == w for e in own["edges"]) and not any(core[v] == w for v in own["members"]):
-                still.append(c)
-                continue
-            members, edges = own["members"], [e for e in own["edges"] if e[0] < w]
-            number = {v: i for i, v in enumerate(members)}
-            parts: dict[int, list[int]] = {}
-            ends = np.array([(number[a], number[b]) for _, a, b in edges], dtype=np.int64).reshape(-1, 2)
-            for v, root in zip(members, minimum_labels(len(members), ends[:, 0], ends[:, 1]), strict=True):
-                parts.setdefault(int(root), []).append(v)
-            kept = []
-            for part in parts.values():
-                bare = min_cluster_size == 1 and len(part) == 1 and core[part[0]] >= w
-                if len(part) >= min_cluster_size and not bare:
-                    kept.append(part)
-            gain = gain_to - own["birth"]
-            if len(kept) == 1:
-                inside = set(kept[0])
-                own["mass"] += gain * (len(members) - len(inside))
-                own["members"], own["edges"] = kept[0], [e for e in edges if e[1] in inside]
-                still.append(c)
-                continue
-            own["mass"] += gain * len(members)
-            for part in kept:
-                inside = set(part)
-                own["children"].append(len(clusters))
-                still.append(len(clusters))
-                clusters.append({"birth": gain_to, "members": part, "edges": [e for e in edges if e[1] in inside], "children": [], "mass": 0.0, "born": part})
-        live = still
-    worth, chosen = [0.0] * len(clusters), [False] * len(clusters)
-    for c in range(len(clusters) - 1, -1, -1):
-        below = sum(worth[x] for x in clusters[c]["children"])
-        chosen[c] = c > 0 and (not clusters[c]["children"] or clusters[c]["mass"] >= below)
-        worth[c] = clusters[c]["mass"] if chosen[c] else below
-    waiting = list(clusters[0]["children"])
+        return np.full(n, -1)
+    merges = _Merges(cells, _core_distances(cells, min_samples))
+    level, size, parent = merges.level, merges.size, merges.parent
+    # Children that may go on as clusters, in order of their first voxel; a voxel alone, only if it is denser than where it parts.
+    inner = np.flatnonzero(parent >= 0)
+    inner = inner[(size[inner] >= min_cluster_size) & ((size[inner] > 1) | (level[inner] < level[parent[inner]]))]
+    inner = inner[np.lexsort((merges.first[inner], parent[inner]))]
+    ends = np.searchsorted(parent[inner], np.arange(len(merges) + 1)).tolist()
+    inner, level, size = inner.tolist(), level.tolist(), size.tolist()
+    top = len(merges) - 1
+    birth, mass, children, born, at = [0.0], [0.0], [[]], [top], 0
+    while at < len(born):
+        x = born[at]
+        while True:
+            kept = inner[ends[x] : ends[x + 1]]
+            gain = 1 / math.sqrt(level[x]) - birth[at]
+            if len(kept) != 1:
+                break
+            mass[at] += gain * (size[x] - size[kept[0]])
+            x = kept[0]
+        mass[at] += gain * size[x]
+        for part in kept:
+            children[at].append(len(born))
+            birth.append(1 / math.sqrt(level[x]))
+            mass.append(0.0)
+            children.append([])
+            born.append(part)
+        at += 1
+    worth, chosen = [0.0] * len(born), [False] * len(born)
+    for c in range(len(born) - 1, -1, -1):
+        below = sum(worth[x] for x in children[c])
+        chosen[c] = c > 0 and (not children[c] or mass[c] >= below)
+        worth[c] = mass[c] if chosen[c] else below
+    named, waiting = np.full(len(merges), -1), list(children[0])
     while waiting:
         c = waiting.pop()
         if chosen[c]:
-            label[clusters[c]["born"]] = c
+            named[born[c]] = c
         else:
-            waiting += clusters[c]["children"]
-    return canonical(label)
+            waiting += children[c]
+    # Names go down to the voxels, parents first.
+    up, named = parent.tolist(), named.tolist()
+    for x in range(len(merges) - 2, -1, -1):
+        if named[x] < 0:
+            named[x] = named[up[x]]
+    return canonical(np.array(named[:n], dtype=np.int64))
 
 
 def canonical(label: np.ndarray) -> np.ndarray:
