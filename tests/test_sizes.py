@@ -62,3 +62,32 @@ def test_hdbscan_of_a_large_frame():
     labels = kernels.hdbscan(c, 5, 5)
     assert len(c) > 50_000 and labels.max() > 0
     assert time.perf_counter() - start < 30
+
+
+def nearest_to_centres(cells, s):
+    """Per occupied cell the voxel nearest to its centre, the first of equally near ones, by trying all."""
+    found = set()
+    for corner in np.unique(cells.ijk // s, axis=0) * s:
+        d = np.abs(2 * (cells.ijk - corner) - (s - 1))
+        if cells.dims is not None:
+            d = np.minimum(d, np.abs(2 * cells.dims - d))
+        found.add(int((d * d).sum(axis=1).argmin()))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_supervoxel_seeds_are_those_of_all_voxels(seed):
+    rng = random.Random(seed)
+    dims, s = (7, 6, 9), rng.randint(1, 5)
+    voxels = np.array([v for v in np.ndindex(*dims) if rng.random() < 0.5])
+    for c in (Cells(voxels), Cells(voxels, dims)):
+        candidates, kept = kernels.supervoxel_seeds(c, s)
+        assert candidates.tolist() == nearest_to_centres(c, s)
+        assert kept.tolist() == [v for v in candidates if (4 * kernels.squared(c, c.ijk, c.ijk[v]) <= s * s).sum() >= np.pi * (s / 2) ** 2]
+
+
+def test_supervoxels_of_a_large_frame():
+    c = wide_frame(5000, 2)
+    start = time.perf_counter()
+    assert (kernels.vccs_optimized(c, 3.0) >= 0).all()
+    assert time.perf_counter() - start < 15

@@ -348,17 +348,48 @@ def vccs(cells: Cells, eps: float) -> np.ndarray:
 
 def supervoxel_seeds(cells: Cells, s: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidates (nearest occupied voxel to each occupied cell's centre) and those that are dense enough to start from."""
-    centres = np.unique(cells.ijk // s, axis=0) * s * 2 + (s - 1)  # doubled, to stay in integers
+    n, corners = len(cells), np.unique(cells.ijk // s, axis=0) * s
+    # Doubled, to stay in integers. A cell holds a voxel, so the nearest is no farther than a corner of the cell.
+    offsets = np.array([o for o in itertools.product(range(-s, 2 * s), repeat=3) if sum((2 * x - s + 1) ** 2 for x in o) <= 3 * (s - 1) ** 2])
     dims = None if cells.dims is None else cells.dims * 2
-    found = set()
-    for c in centres:
-        d = np.abs(cells.ijk * 2 - c)
+    found = [np.zeros(0, np.int64)]
+    step = max(1, PAIRS_AT_ONCE // len(offsets))
+    for at in range(0, len(corners), step):
+        own = corners[at : at + step]
+        there = cells.find(own[:, None, :] + offsets)
+        d = np.abs(cells.ijk[there] * 2 - (own * 2 + (s - 1))[:, None, :])
         if dims is not None:
             d = np.minimum(d, np.abs(dims - d))
-        found.add(int((d * d).sum(axis=1).argmin()))
-    candidates = np.array(sorted(found), dtype=np.int64)
-    kept = [v for v in candidates if np.count_nonzero(4 * squared(cells, cells.ijk, cells.ijk[v]) <= s * s) >= math.pi * (s / 2) ** 2]
-    return candidates, np.array(kept, dtype=np.int64)
+        apart = np.where(there >= 0, (d * d).sum(axis=2), np.iinfo(np.int64).max)
+        # Of the nearest the first in raster order.
+        found.append(np.where(apart == apart.min(axis=1)[:, None], there, n).min(axis=1))
+    candidates = np.unique(np.concatenate(found))
+    around = _whole_ball(cells, s)
+    around = around[4 * (around**2).sum(axis=1) <= s * s]
+    step = max(1, PAIRS_AT_ONCE // len(around))
+    held = [np.count_nonzero(cells.find(cells.ijk[candidates[at : at + step]][:, None, :] + around) >= 0, axis=1) for at in range(0, len(candidates), step)]
+    return candidates, candidates[np.concatenate([np.zeros(0, np.int64), *held]) >= math.pi * (s / 2) ** 2]
+
+
+class _Nearest:
+    """The voxel nearest to a point, the first of equally near ones; cubes around the point grow until they must hold it."""
+
+    def __init__(self, cells: Cells, towards):
+        self.cells, self.towards = cells, towards
+
+    def __call__(self, centre: np.ndarray) -> int:
+        cells, r = self.cells, 2
+        middle = np.rint(centre).astype(np.int64)
+        while (2 * r + 1) ** 3 <= len(cells):
+            there = cells.find(middle + np.array(list(itertools.product(range(-r, r + 1), repeat=3))))
+            there = np.unique(there[there >= 0])
+            if len(there):
+                apart = (self.towards(there, centre) ** 2).sum(axis=1)
+                # Voxels outside the cube are farther than r from the point on some axis.
+                if apart.min() < r * r:
+                    return int(there[apart.argmin()])
+            r *= 2
+        return int((self.towards(np.arange(len(cells)), centre) ** 2).sum(axis=1).argmin())
 
 
 def vccs_optimized(cells: Cells, eps: float) -> np.ndarray:
@@ -367,63 +398,80 @@ def vccs_optimized(cells: Cells, eps: float) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     _, seeds = supervoxel_seeds(cells, s)
-    offsets = [o for h in half_offsets(26) for o in (h, tuple(-x for x in h))]
-    near = np.stack([cells.find(cells.ijk + np.array(o)) for o in sorted(offsets)], axis=1)
-    neighbours = [np.unique(row[(row >= 0) & (row != v)]) for v, row in enumerate(near)]
+    offsets = np.array(sorted(o for h in half_offsets(26) for o in (h, tuple(-x for x in h))))
     points, dims = cells.ijk.astype(float), None if cells.dims is None else cells.dims.astype(float)
+    met: dict[int, list[int]] = {}
+
+    def neighbours(v: int) -> list[int]:
+        if v not in met:
+            row = cells.find(cells.ijk[v] + offsets)
+            met[v] = np.unique(row[(row >= 0) & (row != v)]).tolist()
+        return met[v]
 
     def towards(v, centre):
         d = points[v] - centre
         return d if dims is None else d - dims * np.trunc(d / dims + np.copysign(0.5, d))
 
+    places: dict[int, list[float]] = {}
+    lengths = None if dims is None else dims.tolist()
+
+    def apart(v: int, centre: list[float]) -> tuple[float, bool]:
+        """Squared distance of one voxel, and whether it lies within the resolution on each axis: as ``towards`` has it, for a few at a time."""
+        if v not in places:
+            places[v] = points[v].tolist()
+        x, y, z = (a - b for a, b in zip(places[v], centre, strict=True))
+        if lengths is not None:
+            x, y, z = (d - m * math.trunc(d / m + math.copysign(0.5, d)) for d, m in zip((x, y, z), lengths, strict=True))
+        return (x * x + y * y) + z * z, -s <= x <= s and -s <= y <= s and -s <= z <= s
+
     def mean(members, about):
         return about + towards(np.asarray(members), about).sum(axis=0) / len(members)
 
+    nearest = _Nearest(cells, towards)
     centre = []
-    for v in seeds:
-        ring = {int(v)} | {int(w) for w in neighbours[v]}
-        ring |= {int(x) for w in neighbours[v] for x in neighbours[w]}
+    for v in seeds.tolist():
+        ring = {v, *neighbours(v)}
+        ring |= {x for w in neighbours(v) for x in neighbours(w)}
         centre.append(mean(sorted(ring), points[v]))
     alive = [True] * len(seeds)
     label = np.full(n, -1)
     for _ in range(FLOW_ROUNDS):
-        label[:] = -1
-        best = np.full(n, np.inf)
-        frontier: list[list[int]] = []
-        queued: list[set[int]] = []
-        for c in range(len(seeds)):
-            start = int((towards(np.arange(n), centre[c]) ** 2).sum(axis=1).argmin()) if alive[c] else -1
-            frontier.append([start] if alive[c] else [])
-            queued.append({start})
-        while any(frontier):
-            for c, level in enumerate(frontier):
-                if not level:
-                    continue
+        best: dict[int, float] = {}
+        owner: dict[int, int] = {}
+        at = [c.tolist() for c in centre]
+        frontier = [[nearest(centre[c])] if alive[c] else [] for c in range(len(seeds))]
+        queued = [set(level) for level in frontier]
+        open_ones = [c for c, level in enumerate(frontier) if level]
+        while open_ones:
+            for c in open_ones:
                 following, took = [], False
-                for v in level:
-                    away = towards(v, centre[c])
-                    d = float((away**2).sum())
-                    if not d < best[v]:
+                for v in frontier[c]:
+                    d, _ = apart(v, at[c])
+                    if not d < best.get(v, math.inf):
                         continue
-                    best[v], label[v], took = d, c, True
-                    for w in neighbours[v]:
-                        w = int(w)
+                    best[v], owner[v], took = d, c, True
+                    for w in neighbours(v):
                         if w in queued[c]:
                             continue
-                        far = towards(w, centre[c])
-                        if (np.abs(far) <= s).all() and float((far**2).sum()) > d:
+                        far, inside = apart(w, at[c])
+                        if inside and far > d:
                             queued[c].add(w)
                             following.append(w)
                 frontier[c] = following if took else []
+            open_ones = [c for c in open_ones if frontier[c]]
+        label = np.full(n, -1)
+        taken: dict[int, list[int]] = {}
+        for v in sorted(owner):
+            label[v] = owner[v]
+            taken.setdefault(owner[v], []).append(v)
         moved = False
         for c in range(len(seeds)):
-            members = np.flatnonzero(label == c)
             if not alive[c]:
                 continue
-            if not len(members):
+            if c not in taken:
                 alive[c], moved = False, True
                 continue
-            new = mean(members, centre[c])
+            new = mean(taken[c], centre[c])
             moved |= not np.array_equal(new, centre[c])
             centre[c] = new
         if not moved:
