@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tests import oracles as o
 from voxelflow.functions.statistics import kendall_tau
+from voxelflow.operators import components as parts
 from voxelflow.operators import kernels
 from voxelflow.operators.compare import compare_runs
-from voxelflow.operators.components import Cells
+from voxelflow.operators.components import Cells, components
 
 
 def plain_tau(a, b):
@@ -91,3 +92,26 @@ def test_supervoxels_of_a_large_frame():
     start = time.perf_counter()
     assert (kernels.vccs_optimized(c, 3.0) >= 0).all()
     assert time.perf_counter() - start < 15
+
+
+def test_components_across_cubes(spark, monkeypatch):
+    monkeypatch.setattr(parts, "CUBE", 4)
+    rng = random.Random(8)
+    cells = {(f, rng.randrange(-3, 14), rng.randrange(13), rng.randrange(11)) for f in range(2) for _ in range(700)}
+    voxels = spark.createDataFrame(sorted(cells), "frame long, i int, j int, k int")
+    for connectivity in (6, 26):
+        want = sorted(map(tuple, components(voxels, connectivity).collect()))
+        assert sorted(map(tuple, components(voxels, connectivity, strategy="distributed").collect())) == want
+    wrapped = voxels.where("i >= 0")
+    grid = spark.createDataFrame([(f, 14, 13, 11) for f in range(2)], "frame long, nx int, ny int, nz int")
+    want = sorted(map(tuple, components(wrapped, 18, grid).collect()))
+    assert sorted(map(tuple, components(wrapped, 18, grid, "distributed").collect())) == want
+
+
+def test_only_edges_between_cubes_are_spread(spark):
+    solid = spark.createDataFrame([(0, i, j, k) for i in range(40) for j in range(8) for k in range(8)], "frame long, i int, j int, k int")
+    local = parts.cube_components(solid, 26)
+    assert local.select("own").distinct().count() == 2
+    edges = parts.cube_edges(local, 26)
+    assert edges.count() == 1
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,8 @@
 """Exact connected components of sparse voxels under 6-, 18- or 26-adjacency.
 
 ``grouped`` solves each frame in one task with vectorised numpy; ``distributed`` is for frames too big for
-that: neighbours meet in equi-joins on exploded offsets, and smallest labels spread with pointer jumping.
+that: cubes of a frame are solved in tasks of their own, neighbours in different cubes meet in equi-joins on exploded offsets, and smallest
+labels spread among the cubes' components with pointer jumping. The joins are merges, so that the driver holds no table.
 ``runs`` joins runs of voxels along k, found with a window, in place of single voxels.
 Labels are dense per frame, in raster order of each component's first voxel.
 """
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 LABELS = "frame long, i int, j int, k int, label long"
 ORDER = ["i", "j", "k"]
+CUBE = 32  # voxels along a cube's edge
 
 
 def half_offsets(connectivity: int) -> list[tuple[int, int, int]]:
@@ -127,8 +129,12 @@ def components(voxels: DataFrame, connectivity: int = 6, grid: DataFrame | None
     if strategy == "runs" and (connectivity != 6 or grid is not None):
         raise ValueError("runs join 6-adjacent voxels on open axes; use the distributed strategy for others")
     units = voxels.select("frame", *ORDER).distinct()
-    edges = run_edges(units) if strategy == "runs" else neighbour_edges(units, connectivity, grid)
-    return number_labels(spread_labels(units, edges))
+    if strategy == "runs":
+        return number_labels(spread_labels(units, run_edges(units)))
+    local = cube_components(units, connectivity).checkpoint()
+    spread = spread_labels(local.where(F.col("own") == F.struct(*ORDER)), cube_edges(local, connectivity, grid))
+    spread = spread.select("frame", F.struct(*ORDER).alias("own"), "first")
+    return number_labels(local.join(spread.hint("merge"), ["frame", "own"]).select("frame", *ORDER, "first"))
 
 
 def number_labels(spread: DataFrame) -> DataFrame:
@@ -143,19 +149,40 @@ def number_labels(spread: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("frame").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = parts.withColumn("place", within).join(counts.select("frame", "part", before.alias("before")), ["frame", "part"])
     numbered = numbered.select("frame", "first", (F.col("place") + F.col("before")).cast("long").alias("label"))
-    return spread.join(numbered, ["frame", "first"]).select("frame", *ORDER, "label")
+    return spread.join(numbered.hint("merge"), ["frame", "first"]).select("frame", *ORDER, "label")
 
 
-def neighbour_edges(voxels: DataFrame, connectivity: int, grid: DataFrame | None = None) -> DataFrame:
-    """(frame, a, b): pairs of adjacent voxels as structs, from equi-joins on exploded offsets."""
+def cube_components(voxels: DataFrame, connectivity: int) -> DataFrame:
+    """(frame, i, j, k, own): each voxel's first voxel of its component within its cube, whose edges are open."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = Cells(rows[ORDER].to_numpy())
+        first = cells.ijk[minimum_labels(len(cells), *cells.edges(half_offsets(connectivity)))]
+        out = pd.DataFrame(np.concatenate([cells.ijk, first], axis=1).astype(np.int32), columns=[*ORDER, "fi", "fj", "fk"])
+        out.insert(0, "frame", rows["frame"].iloc[0])
+        return out
+
+    cubes = [F.floor(F.col(c) / CUBE).alias(f"cube_{c}") for c in ORDER]
+    local = voxels.groupBy("frame", *cubes).applyInPandas(run, "frame long, i int, j int, k int, fi int, fj int, fk int")
+    return local.select("frame", *ORDER, F.struct(*[F.col(f"f{c}").alias(c) for c in ORDER]).alias("own"))
+
+
+def cube_edges(local: DataFrame, connectivity: int, grid: DataFrame | None = None) -> DataFrame:
+    """(frame, a, b): pairs of components of cubes that hold adjacent voxels, from equi-joins on the exploded offsets that leave a cube."""
     offsets = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(o, ("di", "dj", "dk"), strict=True)]) for o in half_offsets(connectivity)])
-    here = voxels if grid is None else voxels.join(grid.select("frame", "nx", "ny", "nz"), "frame")
+    here = local if grid is None else local.join(grid.select("frame", "nx", "ny", "nz"), "frame")
     here = here.withColumn("o", F.explode(offsets))
     there = [F.col(c) + F.col(f"o.d{c}") for c in ORDER]
+    leaves = F.lit(False)
+    for t, c, n in zip(there, ORDER, ("nx", "ny", "nz"), strict=True):
+        leaves = leaves | (F.floor(t / CUBE) != F.floor(F.col(c) / CUBE))
+        if grid is not None:
+            leaves = leaves | (t != F.pmod(t, F.col(n)))
     if grid is not None:
         there = [F.pmod(t, F.col(n)) for t, n in zip(there, ("nx", "ny", "nz"), strict=True)]
-    moved = here.select("frame", F.struct(*ORDER).alias("a"), *[t.cast("int").alias(c) for t, c in zip(there, ORDER, strict=True)])
-    return moved.join(voxels, ["frame", *ORDER]).select("frame", "a", F.struct(*ORDER).alias("b"))
+    moved = here.where(leaves).select("frame", F.col("own").alias("a"), *[t.cast("int").alias(c) for t, c in zip(there, ORDER, strict=True)])
+    met = moved.hint("merge").join(local.withColumnRenamed("own", "b"), ["frame", *ORDER])
+    return met.where("a <> b").select("frame", "a", "b").distinct()
 
 
 def runs_of(voxels: DataFrame) -> DataFrame:
@@ -185,11 +212,11 @@ def spread_labels(voxels: DataFrame, edges: DataFrame) -> DataFrame:
     both = one.unionAll(edges.select("frame", F.col("b").alias("src"), F.col("a").alias("dst"))).distinct().checkpoint()
     labels = voxels.select("frame", F.struct(*ORDER).alias("at"), F.struct(*ORDER).alias("first")).checkpoint()
     while True:
-        near = both.join(labels.select("frame", F.col("at").alias("dst"), F.col("first").alias("near")), ["frame", "dst"])
+        near = both.hint("merge").join(labels.select("frame", F.col("at").alias("dst"), F.col("first").alias("near")), ["frame", "dst"])
         near = near.groupBy("frame", F.col("src").alias("at")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, ["frame", "at"], "left").select("frame", "at", F.col("first").alias("old"), F.least("first", "near").alias("mid"))
+        lower = labels.hint("merge").join(near, ["frame", "at"], "left").select("frame", "at", F.col("first").alias("old"), F.least("first", "near").alias("mid"))
         jump = lower.select("frame", F.col("at").alias("mid"), F.col("mid").alias("far"))
-        after = lower.join(jump, ["frame", "mid"]).select("frame", "at", "old", F.least("mid", "far").alias("first")).checkpoint()
+        after = lower.hint("merge").join(jump, ["frame", "mid"]).select("frame", "at", "old", F.least("mid", "far").alias("first")).checkpoint()
         labels = after.select("frame", "at", "first")
         if not after.where(F.col("old") != F.col("first")).limit(1).count():
             return labels.select("frame", "at.*", "first")
