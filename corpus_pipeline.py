@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelflow.llm import bpe, decontaminate, neardup, quality, toxicity
-from voxelflow.llm.common import Scratch, table
+from voxelflow.llm.common import Scratch, release_memory, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +31,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs within its error budget."""
+    release_memory(spark)
     return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left, its null text counted as empty."""
-    return bpe.encode_documents(spark, docs, emit="digests")
+    release_memory(spark)
+    return bpe.encode_documents(spark, docs, emit="digests", keep_words=False)
 
 
 STAGES = [

@@ -147,8 +147,10 @@ class Codec:
                 self.db.execute(f"create table {name} as select * from incoming")
                 self.db.unregister("incoming")
 
-    def close(self) -> None:
-        """Give the tables' memory back; the parts met lately stay, within KNOWN_WORDS a generation."""
+    def close(self, keep_words: bool = True) -> None:
+        """Give the tables' memory back; the parts met lately stay, within KNOWN_WORDS a generation, if they are to be kept."""
+        if not keep_words:
+            self.known, self.older = {}, {}
         if self.db is not None:
             self.db.close()
             self.db = None
@@ -353,13 +355,15 @@ def encode_documents(
     pattern: str = public_tokenizers.PATTERN,
     emit: str = "ids",
     chunk_chars: int = CHUNK_CHARS,
+    keep_words: bool = True,
 ) -> DataFrame:
     """Encode every whole text; one row per input row, repeated rows and null ids included.
 
     ``emit="ids"`` gives (doc_id, n_tokens, ids, decoded); ``emit="digests"`` gives their SHA-256 in place of the
     last two. A null text counts as empty: no ids. Texts and words of any length are encoded whole. An empty table gives
     an empty result. Further columns are not read. ``vocabulary`` is the path
-    of a rank file that the driver reads; executors get its bytes (below a megabyte) by broadcast.
+    of a rank file that the driver reads; executors get its bytes (below a megabyte) by broadcast. ``keep_words`` lets Python workers
+    remember words from task to task, which is faster; without it they hold none when later steps run beside them.
     """
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         shared = spark.sparkContext.broadcast((f.read(), pattern))
@@ -384,7 +388,7 @@ def encode_documents(
                 columns = [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
-            own.close()
+            own.close(keep_words)
 
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded string" if as_ids else "ids_sha256 string, decoded_sha256 string")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
